@@ -84,7 +84,8 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, group: Col
     number = F.pmod(group.cast("long"), F.lit(1 << 32))
     values = [F.shiftleft(F.coalesce(c.cast("long"), F.lit(0).cast("long")), 32) + number for c in dims.values()]
     rows = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], F.array(*values, F.pmod(tie.cast("long"), F.lit(1 << 32))).alias("values"), F.coalesce(weight.cast("long"), F.lit(1).cast("long")).alias("weight"))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "kd")
+    # The root's number is stored, so that joins by node stay equi-joins where it is the same in all rows.
+    rows = materialise(rows.withColumns({"row": F.monotonically_increasing_id(), "node": F.lit(0).cast("long")}), "kd")
     ends = [f(F.col("values")[i]).alias(f"{p}{i}") for i in range(len(dims)) for p, f in (("lo", F.min), ("hi", F.max))]
     total = rows.agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), *ends).first()
     named = [F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)]
@@ -93,7 +94,7 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, group: Col
     leaves = shards or max(1, -(-total["weight"] // target_bytes))
     slack = total["weight"] // leaves // 100
     spread = [max(1, total[f"hi{i}"] - total[f"lo{i}"]) for i in range(len(dims))]
-    tree = rows.withColumn("node", F.lit(0).cast("long"))
+    tree = rows
     #: node -> its leaves to make and the number of the first of them
     open_, closed, made, level = {0: (leaves, 0)}, {}, 1, 0
     while True:
