@@ -22,7 +22,7 @@ from treeql.llm._common import materialise, runs, text_bytes
 from treeql.llm._segments import WORD_HASHES, segmented, utf8
 
 #: Bytes of context; bytes of text in a segment and in a block; keys looked up by one task.
-DEPTH, SEGMENT, BLOCK, ASKED = 5, 6 << 20, 4 << 20, 1 << 20
+DEPTH, SEGMENT, BLOCK, ASKED = 5, 6 << 20, 1 << 20, 1 << 20
 #: What ends every text: a token of its own and the last byte. Texts also begin behind DEPTH of them.
 END = b"\n"
 #: An odd number: multiplying grams by it deals them evenly over the 64-bit keys.
@@ -41,11 +41,12 @@ def stream(words: list[bytes]) -> bytes:
 
 def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The gram of every byte of every stream but its first DEPTH, and where each stream's begin."""
-    data = np.frombuffer(b"".join(streams), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(streams), np.uint8)
     n = len(data) - DEPTH
-    code = np.zeros(n, np.int64)
+    code = np.zeros(n, np.uint64)
     for j in range(DEPTH + 1):
-        code = (code << 8) | data[j : j + n]
+        code <<= np.uint64(8)
+        code |= data[j : j + n]
     ends = np.cumsum([len(s) for s in streams])
     # The DEPTH codes that cross into the next stream are left out.
     inside = np.ones(n, bool)
@@ -55,6 +56,40 @@ def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.cumsum(sizes) - sizes
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; by sorting, which is faster than numpy's hashing for what repeats as much."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """Each key's index among the sorted distinct ones."""
+    codes, values = pd.factorize(keys)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(values)] = np.arange(len(values))
+    return rank[codes]
+
+
+class Tally:
+    """Keys with counts, added up when more than `most` have gathered."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most, self.held, self.parts = most, 0, []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.held += len(keys)
+        if self.held > self.most:
+            self.most = max(self.most, 2 * len(self.sum()[0]))
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip((np.empty(0, np.uint64), np.empty(0, np.int64)), *self.parts, strict=True))
+        codes, values = pd.factorize(keys)
+        self.parts = [(values, np.bincount(codes, n, len(values)).astype(np.int64))]
+        self.held = len(values)
+        return self.parts[0]
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of gamma for x >= 1/2: Stirling's series after eight steps of the recurrence."""
     low = np.zeros_like(x)
@@ -85,7 +120,7 @@ class SuffixTree:
         for depth in range(DEPTH, top - 1, -1):
             context = (codes >> 8) & ((1 << (8 * depth)) - 1)
             key = ((context[:, None] << 8) | self.node).reshape(-1)
-            keys, at = np.unique(key, return_inverse=True)
+            at, keys = pd.factorize(key)
             n1 = np.bincount(at, weight * self.bit.reshape(-1), len(keys))
             n0 = np.bincount(at, weight, len(keys)) - n1
             own = log_kt(n0, n1)
@@ -156,7 +191,7 @@ def gram_logs(counted: DataFrame) -> DataFrame:
 
 def _spread(code: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return code.astype(np.uint64) * np.uint64(SPREAD)
+        return code.view(np.uint64) * np.uint64(SPREAD)
 
 
 class _Held:
@@ -179,7 +214,7 @@ def _each_key(part: pd.DataFrame, column: str, buckets: int) -> Iterator[tuple[i
     """(kind, bucket, keys): the distinct keys in ascending order, cut by bucket."""
     held = _Held(part[column].tolist())
     for kind in (WORDS, GRAMS):
-        keys = np.unique(held.keys[kind])
+        keys = distinct(held.keys[kind])
         cuts = np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
@@ -198,20 +233,23 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tallies = {WORDS: Tally(), GRAMS: Tally()}
         for batch in batches:
             texts, learns = batch["text"].tolist(), batch["train"].to_numpy(bool)
             for a, b in runs([len(t or "") for t in texts], BLOCK):
                 held = _Held(texts[a:b])
                 lengths = {WORDS: held.n_tokens, GRAMS: np.diff(np.append(held.firsts, len(held.keys[GRAMS])))}
-                for kind in (WORDS, GRAMS):
-                    every = held.keys[kind]
-                    own = every[np.repeat(learns[a:b], lengths[kind])]
-                    keys, n = np.unique(own, return_counts=True)
+                for kind, tally in tallies.items():
+                    own = np.repeat(learns[a:b], lengths[kind])
+                    tally.add(*np.unique(held.keys[kind][own], return_counts=True))
                     if kind == GRAMS:
                         # Grams of texts not learned from are known too, with no count.
-                        rest = np.setdiff1d(every[np.repeat(~learns[a:b], lengths[kind])], keys)
-                        keys, n = np.concatenate([keys, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])
-                    yield pd.DataFrame({"kind": np.full(len(keys), kind, np.int32), "key": keys.view(np.int64), "n": n})
+                        rest = distinct(held.keys[kind][~own])
+                        tally.add(rest, np.zeros(len(rest), np.int64))
+        for kind, tally in tallies.items():
+            keys, n = tally.sum()
+            for a in range(0, len(keys), 200_000):
+                yield pd.DataFrame({"kind": np.full(len(keys[a : a + 200_000]), kind, np.int32), "key": keys[a : a + 200_000].view(np.int64), "n": n[a : a + 200_000]})
 
     total = text_bytes(df, text)
     counts = rows.select("text", "train").mapInPandas(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -264,8 +302,8 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
         of = {}
         for kind, own in answers.sort_values("bucket").groupby("kind"):
             of[kind] = np.frombuffer(b"".join(own["found"]), np.float64)
-        c = of[WORDS][np.unique(held.keys[WORDS], return_inverse=True)[1]]
-        log = of[GRAMS][np.unique(held.keys[GRAMS], return_inverse=True)[1]]
+        c = of[WORDS][ranks(held.keys[WORDS])]
+        log = of[GRAMS][ranks(held.keys[GRAMS])]
         starts = np.cumsum(held.n_tokens) - held.n_tokens
         return pd.DataFrame({
             "key": part["key"],
