@@ -9,23 +9,23 @@ and no segment depends on another.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeql.llm._common import materialise
 
 #: UTF-8 bytes of text in a segment (one document may exceed it), and bytes of benchmark text searched at once.
-SEGMENT, QUERY_BLOCK = 12 << 20, 1 << 20
+SEGMENT, QUERY_BLOCK = 8 << 20, 1 << 20
 
 #: Lower-cases A-Z and turns every other byte below 0x80 but digits and letters into a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 #: The document key is held as text, so that pandas never turns it into a float.
+SPANS = "array<struct<start:int,end:int>>"
 INDEX = "segment long, term binary, postings binary, doc_id string, starts binary"
 
 
@@ -117,15 +117,15 @@ def phrase_starts(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray],
 
 def search(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]], slop: int = 0) -> DataFrame:
     """Match phrases of (item, phrases) in every segment. A row for each document, matched or not: segment,
-    ordinal (in the segment), doc_id, n_words, spans (uint32 pairs: first and past-last word of each maximal
-    run of words hit, from 0 at the document's first), items (those with a match).
+    ordinal (in the segment), doc_id, n_words, spans (start and end, in words, of each maximal run of words
+    hit), items (those with a match).
 
     items come in blocks of bounded text (see decontaminate), so the terms asked for are broadcast.
     """
     spark = index.sparkSession
     terms = sorted({w for _, phrases in items for p in phrases for w in p})
     sent = spark.sparkContext.broadcast(items)
-    schema = "segment long, ordinal int, doc_id string, n_words long, spans binary, items array<string>"
+    schema = f"segment long, ordinal int, doc_id string, n_words long, spans {SPANS}, items array<string>"
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         named = part["term"].notna().to_numpy()
@@ -151,12 +151,12 @@ def search(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]], s
                 np.add.at(edge, at + len(p), -1)
                 for k in np.unique(own).tolist():
                     found.setdefault(k, set()).add(item)
-        spans = [b""] * len(keys)
+        spans = [[] for _ in keys]
         hit = np.cumsum(edge) > 0
         for k in found:
             a, b = bounds[k]
-            change = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
-            spans[k] = change.astype(np.uint32).tobytes()
+            change = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).tolist()
+            spans[k] = [{"start": x, "end": y} for x, y in zip(change[::2], change[1::2], strict=True)]
         return pd.DataFrame({
             "segment": np.full(len(keys), part["segment"].iloc[0]),
             "ordinal": np.arange(len(keys), dtype=np.int32),
@@ -172,18 +172,12 @@ def search(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]], s
     return kept.unionByName(index.filter(F.col("term").isNull())).groupBy("segment").applyInPandas(match, schema)
 
 
-def _merge_spans(parts: list[bytes]) -> bytes:
-    pairs = np.concatenate([np.frombuffer(p, np.uint32) for p in parts]).reshape(-1, 2).astype(np.int64)
-    edge = np.zeros(int(pairs[:, 1].max(initial=0)) + 2, np.int64)
-    np.add.at(edge, pairs[:, 0], 1)
-    np.add.at(edge, pairs[:, 1], -1)
-    change = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)])))
-    return change.astype(np.uint32).tobytes()
-
-
-def span_words(spans: bytes | None) -> int:
-    pairs = np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).astype(np.int64)
-    return int((pairs[:, 1] - pairs[:, 0]).sum())
+def merged_spans(spans: Column) -> Column:
+    """Overlapping or touching spans of an array joined to maximal ones."""
+    none = F.array().cast(SPANS)
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))
+    return F.aggregate(F.array_sort(spans), none, lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", width: int = 10, slop: int = 0) -> DataFrame:
@@ -216,22 +210,14 @@ def _merged(done: list[DataFrame]) -> DataFrame:
     both = materialise(done[0], "matches")
     for more in done[1:]:
         both = both.unionByName(materialise(more, "matches"))
-    merge = F.udf(lambda parts: _merge_spans(list(map(bytes, parts))), "binary")
-    both = both.groupBy("segment", "ordinal", "doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return both.select("doc_id", "n_words", merge("spans").alias("spans"), "items")
+    gathered = both.groupBy("segment", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return gathered.select("doc_id", "n_words", merged_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated from decontaminate()'s rows."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = np.fromiter(map(span_words, b["spans"]), np.int64, len(b))
-            names = [sorted(x) for x in b["items"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n_words": b["n_words"], "n_hit": hit, "n_items": [len(x) for x in names],
-                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": hit > 0,
-            })
-
-    made = found.mapInPandas(each, "doc_id string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
