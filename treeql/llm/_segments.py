@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treeql.llm._common import text_bytes
 
 #: Bytes of text in a segment, the least number of segments, and words whose hash a worker remembers.
-SEGMENT, LEAST, CACHED = 4 << 20, 24, 1_000_000
+SEGMENT, LEAST, CACHED = 4 << 20, 24, 300_000
 
 
 def segmented(df: DataFrame, text: str, key: str, total: int | None = None, size: int = SEGMENT) -> tuple[DataFrame, int]:

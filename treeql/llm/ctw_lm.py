@@ -22,7 +22,7 @@ from treeql.llm._common import materialise, runs, text_bytes
 from treeql.llm._segments import WORD_HASHES, segmented, utf8
 
 #: Bytes of context; bytes of text in a segment and in a block; keys looked up by one task.
-DEPTH, SEGMENT, BLOCK, ASKED = 5, 6 << 20, 1 << 20, 1 << 20
+DEPTH, SEGMENT, BLOCK, ASKED = 5, 4 << 20, 1 << 20, 1 << 20
 #: What ends every text: a token of its own and the last byte. Texts also begin behind DEPTH of them.
 END = b"\n"
 #: An odd number: multiplying grams by it deals them evenly over the 64-bit keys.
@@ -164,7 +164,7 @@ def _top_of_tree(sums: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def gram_logs(counted: DataFrame) -> DataFrame:
-    """(gram, log10 of the probability of its last byte) for every row (gram, n) of counts; n may be 0."""
+    """(gram, its spread key, log10 of the probability of its last byte) for every row (gram, n) of counts; n may be 0."""
     spark = counted.sparkSession
     dealt = counted.withColumn("suffix", F.shiftright("gram", 8).bitwiseAND((1 << 16) - 1).cast("int"))
 
@@ -184,12 +184,12 @@ def gram_logs(counted: DataFrame) -> DataFrame:
         of = lambda p: np.where(tree.bit == 1, p, 1 - p)
         p = w1[byte, tree.node] * of(p1[byte, tree.node]) + (1 - w1[byte, tree.node]) * tree.mixed()
         p = w0[tree.node] * of(p0[tree.node]) + (1 - w0[tree.node]) * p
-        return pd.DataFrame({"gram": tree.codes, "log": np.log10(p).sum(axis=1)})
+        return pd.DataFrame({"gram": tree.codes, "spread": spread(tree.codes).view(np.int64), "log": np.log10(p).sum(axis=1)})
 
-    return dealt.groupBy("suffix").applyInPandas(mix, "gram long, log double")
+    return dealt.groupBy("suffix").applyInPandas(mix, "gram long, spread long, log double")
 
 
-def _spread(code: np.ndarray) -> np.ndarray:
+def spread(code: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return code.view(np.uint64) * np.uint64(SPREAD)
 
@@ -203,7 +203,7 @@ class _Held:
         end = WORD_HASHES[END]
         tokens = np.fromiter((h for words in split for h in (*map(WORD_HASHES.__getitem__, words), end)), np.uint64, int(self.n_tokens.sum()))
         code, self.firsts = grams([stream(w) for w in split])
-        self.keys = {WORDS: tokens, GRAMS: _spread(code)}
+        self.keys = {WORDS: tokens, GRAMS: code}
 
 
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
@@ -214,7 +214,7 @@ def _each_key(part: pd.DataFrame, column: str, buckets: int) -> Iterator[tuple[i
     """(kind, bucket, keys): the distinct keys in ascending order, cut by bucket."""
     held = _Held(part[column].tolist())
     for kind in (WORDS, GRAMS):
-        keys = distinct(held.keys[kind])
+        keys = distinct(held.keys[kind] if kind == WORDS else spread(held.keys[kind]))
         cuts = np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
@@ -257,19 +257,8 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
     sums = counts.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = sums["n"], sums["v"]
 
-    back = pow(SPREAD, -1, 1 << 64)
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                yield pd.DataFrame({"gram": (batch["key"].to_numpy().view(np.uint64) * np.uint64(back)).view(np.int64), "n": batch["n"]})
-
-    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"kind": np.full(len(batch), GRAMS, np.int32), "key": _spread(batch["gram"].to_numpy()).view(np.int64), "value": batch["log"]})
-
-    logs = gram_logs(counts.filter(F.col("kind") == GRAMS).select("key", "n").mapInPandas(gather, "gram long, n long"))
-    known = counts.filter(F.col("kind") == WORDS).select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(logs.mapInPandas(scatter, "kind int, key long, value double"))
+    logs = gram_logs(counts.filter(F.col("kind") == GRAMS).select(F.col("key").alias("gram"), "n"))
+    known = counts.filter(F.col("kind") == WORDS).select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(GRAMS).alias("kind"), F.col("spread").alias("key"), F.col("log").alias("value")))
     buckets = max(8, -(-total // (12 * ASKED)))
     known = materialise(known, "model").withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 40) * buckets, 24).cast("int"))
     docs, _ = segmented(df, text, key, total, SEGMENT)
@@ -303,7 +292,7 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
         for kind, own in answers.sort_values("bucket").groupby("kind"):
             of[kind] = np.frombuffer(b"".join(own["found"]), np.float64)
         c = of[WORDS][ranks(held.keys[WORDS])]
-        log = of[GRAMS][ranks(held.keys[GRAMS])]
+        log = of[GRAMS][ranks(spread(held.keys[GRAMS]))]
         starts = np.cumsum(held.n_tokens) - held.n_tokens
         return pd.DataFrame({
             "key": part["key"],
