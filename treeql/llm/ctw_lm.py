@@ -23,6 +23,8 @@ from treeql.llm._segments import WORD_HASHES, segmented, utf8
 
 #: Bytes of context; bytes of text in a segment and in a block; keys looked up by one task.
 DEPTH, SEGMENT, BLOCK, ASKED = 5, 4 << 20, 1 << 20, 1 << 20
+#: Of each kind, so many most frequent keys are broadcast (16 bytes each); only others are asked for.
+HEAD = 1 << 17
 #: What ends every text: a token of its own and the last byte. Texts also begin behind DEPTH of them.
 END = b"\n"
 #: An odd number: multiplying grams by it deals them evenly over the 64-bit keys.
@@ -62,14 +64,6 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
-def ranks(keys: np.ndarray) -> np.ndarray:
-    """Each key's index among the sorted distinct ones."""
-    codes, values = pd.factorize(keys)
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(values)] = np.arange(len(values))
-    return rank[codes]
-
-
 class Tally:
     """Keys with counts, added up when more than `most` have gathered."""
 
@@ -164,7 +158,7 @@ def _top_of_tree(sums: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def gram_logs(counted: DataFrame) -> DataFrame:
-    """(gram, its spread key, log10 of the probability of its last byte) for every row (gram, n) of counts; n may be 0."""
+    """(gram, its spread key, log10 of the probability of its last byte, n) for every row (gram, n) of counts; n may be 0."""
     spark = counted.sparkSession
     dealt = counted.withColumn("suffix", F.shiftright("gram", 8).bitwiseAND((1 << 16) - 1).cast("int"))
 
@@ -184,9 +178,9 @@ def gram_logs(counted: DataFrame) -> DataFrame:
         of = lambda p: np.where(tree.bit == 1, p, 1 - p)
         p = w1[byte, tree.node] * of(p1[byte, tree.node]) + (1 - w1[byte, tree.node]) * tree.mixed()
         p = w0[tree.node] * of(p0[tree.node]) + (1 - w0[tree.node]) * p
-        return pd.DataFrame({"gram": tree.codes, "spread": spread(tree.codes).view(np.int64), "log": np.log10(p).sum(axis=1)})
+        return pd.DataFrame({"gram": tree.codes, "spread": spread(tree.codes).view(np.int64), "log": np.log10(p).sum(axis=1), "n": part["n"]})
 
-    return dealt.groupBy("suffix").applyInPandas(mix, "gram long, spread long, log double")
+    return dealt.groupBy("suffix").applyInPandas(mix, "gram long, spread long, log double, n long")
 
 
 def spread(code: np.ndarray) -> np.ndarray:
@@ -206,15 +200,23 @@ class _Held:
         self.keys = {WORDS: tokens, GRAMS: code}
 
 
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Each key's index in a sorted table, -1 if it isn't there."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return np.where(table[at] == keys, at, -1) if len(table) else np.full(len(keys), -1)
+
+
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
-def _each_key(part: pd.DataFrame, column: str, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(kind, bucket, keys): the distinct keys in ascending order, cut by bucket."""
+def _each_key(part: pd.DataFrame, column: str, buckets: int, head: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(kind, bucket, keys): the distinct keys that are not of the head, in ascending order, cut by bucket."""
     held = _Held(part[column].tolist())
     for kind in (WORDS, GRAMS):
         keys = distinct(held.keys[kind] if kind == WORDS else spread(held.keys[kind]))
+        keys = keys[_find(head[kind][0], keys) < 0]
         cuts = np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
@@ -230,6 +232,7 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
     token, one byte. Without a training row N and V are 0 and every bit costs one bit. One row for each input row;
     columns other than text, key and what `train` reads play no part. Words are told apart by 64-bit hashes.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,14 +261,22 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
     n_train, vocabulary = sums["n"], sums["v"]
 
     logs = gram_logs(counts.filter(F.col("kind") == GRAMS).select(F.col("key").alias("gram"), "n"))
-    known = counts.filter(F.col("kind") == WORDS).select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(GRAMS).alias("kind"), F.col("spread").alias("key"), F.col("log").alias("value")))
+    known = counts.filter(F.col("kind") == WORDS).select("kind", "key", F.col("n").cast("double").alias("value"), "n").unionByName(logs.select(F.lit(GRAMS).alias("kind"), F.col("spread").alias("key"), F.col("log").alias("value"), "n"))
     buckets = max(8, -(-total // (12 * ASKED)))
     known = materialise(known, "model").withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 40) * buckets, 24).cast("int"))
+    head = {}
+    for kind in (WORDS, GRAMS):
+        own = known.filter(F.col("kind") == kind).orderBy(F.desc("n"), "key").select("key", "value").limit(HEAD).toPandas()
+        keys = own["key"].to_numpy(np.int64).view(np.uint64)
+        head[kind] = keys[np.argsort(keys)], own["value"].to_numpy()[np.argsort(keys)]
+    sent = spark.sparkContext.broadcast(head)
+    known = known.drop("n")
     docs, _ = segmented(df, text, key, total, SEGMENT)
     wanted = "kind int, bucket int, seg int, keys binary"
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket, keys = zip(*_each_key(part, "text", buckets), strict=True)
+        found = list(_each_key(part, "text", buckets, sent.value))
+        kind, bucket, keys = zip(*found, strict=True) if found else ((), (), ())
         return pd.DataFrame({"kind": kind, "bucket": bucket, "seg": [part["seg"].iloc[0]] * len(keys), "keys": [k.tobytes() for k in keys]})
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -289,10 +300,21 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
             return pd.DataFrame({"key": [], "n_tokens": [], "n_known": [], "base": [], "score": [], "n_bytes": []})
         held = _Held(part["text"].tolist())
         of = {}
-        for kind, own in answers.sort_values("bucket").groupby("kind"):
-            of[kind] = np.frombuffer(b"".join(own["found"]), np.float64)
-        c = of[WORDS][ranks(held.keys[WORDS])]
-        log = of[GRAMS][ranks(spread(held.keys[GRAMS]))]
+        for kind in (WORDS, GRAMS):
+            own = answers[answers["kind"] == kind].sort_values("bucket")
+            every = held.keys[kind] if kind == WORDS else spread(held.keys[kind])
+            codes, keys = pd.factorize(every)
+            order = np.argsort(keys)
+            table, values = sent.value[kind]
+            at = _find(table, keys[order])
+            # The keys asked for, in order, take the answers, in order.
+            value = np.empty(len(keys))
+            value[at >= 0] = values[at[at >= 0]]
+            value[at < 0] = np.frombuffer(b"".join(own["found"]), np.float64)
+            by_code = np.empty(len(keys))
+            by_code[order] = value
+            of[kind] = by_code[codes]
+        c, log = of[WORDS], of[GRAMS]
         starts = np.cumsum(held.n_tokens) - held.n_tokens
         return pd.DataFrame({
             "key": part["key"],
