@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from treeql.llm._common import runs
 
 #: Characters of a chunk, characters handled together, and pre-tokens remembered by a worker.
-CHUNK, BLOCK, CACHED = 256, 1 << 21, 1_000_000
+CHUNK, BLOCK, CACHED = 256, 1 << 20, 400_000
 
 # Character classes and states of the split transducer.
 LETTER, STMD, ELL, VEE, ARR, EEE, NUMBER, SPACE, WHITE, APOS, OTHER, EDGE = range(12)
@@ -142,10 +142,12 @@ def boundaries(classes: np.ndarray) -> np.ndarray:
 class MergeTransducer:
     """Bytes in, token counts out; states and transitions are made when first needed.
 
-    The table of transitions starts anew beyond `most` entries, so adversarial texts can't fill memory.
+    The table of transitions starts anew beyond `most` entries, so no text can fill memory. To keep it small,
+    an entry of a state is one number, node << 48 | (last token + 1) << 24 | tokens since; so is a transition,
+    state << 8 | (tokens added + 128).
     """
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], tokens: list[bytes], most: int = 2_000_000):
+    def __init__(self, merges: list[tuple[bytes, bytes]], tokens: list[bytes], most: int = 600_000):
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.tokens, self.most = tokens, most
         self.child: dict[int, int] = {}
@@ -161,11 +163,10 @@ class MergeTransducer:
                     self.grows.append(False)
                 node = self.child[key]
             self.token_at[node] = k
-        self.follows: dict[tuple[int, int], bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.states, self.number, self.table = [((0, -1, 0),)], {((0, -1, 0),): 0}, {}
+        self.states, self.number, self.table, self.follows = [(0,)], {(0,): 0}, {}, {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """BPE as defined: the adjacent pair of least rank merges first, the leftmost of equals."""
@@ -178,26 +179,32 @@ class MergeTransducer:
         return parts
 
     def may_follow(self, last: int, token: int) -> bool:
-        found = self.follows.get((last, token))
+        key = (last + 1) << 24 | token
+        found = self.follows.get(key)
         if found is None:
             both = [self.tokens[k] for k in (last, token) if k >= 0]
-            found = self.follows[last, token] = self.merged(b"".join(both)) == both
+            found = self.follows[key] = self.merged(b"".join(both)) == both
         return found
 
-    def _make(self, state: int, byte: int) -> tuple[int, int]:
+    def _make(self, state: int, byte: int) -> int:
         """Compile one transition; entries stand longest suffix first."""
-        grown = [(n, last, since) for node, last, since in self.states[state] if (n := self.child.get(node << 8 | byte)) is not None]
+        grown = []
+        for entry in self.states[state]:
+            node = self.child.get(entry >> 48 << 8 | byte)
+            if node is not None:
+                grown.append((node, (entry >> 24 & 0xFFFFFF) - 1, (entry & 0xFFFFFF) - (1 << 23) if entry & 0xFFFFFF else 0))
         for node, last, since in grown:
             token = self.token_at[node]
             if token >= 0 and self.may_follow(last, token):
                 break
         added = 1 - since
-        key = (*((n, before, c + added) for n, before, c in grown if self.grows[n]), (0, token, 0))
+        pack = lambda n, before, c: n << 48 | (before + 1) << 24 | (c + (1 << 23) if c else 0)
+        key = (*(pack(n, before, c + added) for n, before, c in grown if self.grows[n]), pack(0, token, 0))
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.table[state << 8 | byte] = found = (to, added)
+        self.table[state << 8 | byte] = found = to << 8 | (added + 128)
         return found
 
     def count(self, data: bytes) -> int:
@@ -206,8 +213,9 @@ class MergeTransducer:
         state = total = 0
         get = self.table.get
         for byte in data:
-            state, added = get(state << 8 | byte) or self._make(state, byte)
-            total += added
+            found = get(state << 8 | byte) or self._make(state, byte)
+            state = found >> 8
+            total += (found & 255) - 128
         return total
 
 
