@@ -24,7 +24,7 @@ from treeql.llm._common import materialise, runs
 #: Words stand behind this mark, as in the vocabulary; longer words are scored in runs of so many characters.
 MARK, LONGEST = "▁", 32
 #: Words remembered by a worker, words that pass the lattice together, and characters tokenised together.
-CACHED, LOCKSTEP, BLOCK = 1_000_000, 20_000, 1 << 22
+CACHED, LOCKSTEP, BLOCK = 300_000, 10_000, 1 << 20
 #: A character outside the vocabulary is one of so many.
 UNSEEN_CHARS = 1e4
 SMOOTHING = 0.02
