@@ -160,7 +160,9 @@ def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", ve
 
     place = f"tree int, leaf int, id long, v {rows.schema['v'].dataType.simpleString()}"
     filed = rows.select("id", "v").mapInPandas(file, place)
-    asked = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v")).mapInPandas(ask, place)
+    # Queries are small but take long: they are dealt out by number, not by bytes.
+    asking = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v")).repartition(max(16, total // 10_000), "id")
+    asked = asking.mapInPandas(ask, place)
     # A leaf may hold any share of the rows (copies of one vector): it is dealt into blocks of members and of queries.
     sizes = filed.groupBy("tree", "leaf").agg(F.count("*").alias("members")).join(asked.groupBy("tree", "leaf").agg(F.count("*").alias("asking")), ["tree", "leaf"])
     sizes = materialise(sizes.select("tree", "leaf", F.ceil(F.col("members") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("qb")), "leaves")
