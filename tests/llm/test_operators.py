@@ -457,3 +457,13 @@ def test_pipeline(spark, docs, none, tmp_path):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, none.select(columns), sf).columns == columns
     assert P.STAGES[-1][1](spark, none.select(columns), sf).count() == 0
+
+
+def test_kd_target_bytes(spark):
+    from treeql.llm.kd_sharding import kd_shards
+
+    df = spark.range(5000).selectExpr("id", "id % 97 + 1 AS bytes", "id % 13 AS x", "id * 7 % 1001 AS y")
+    got = kd_shards(df, {"x": F.col("x"), "y": F.col("y")}, F.col("bytes"), F.crc32(F.col("id").cast("string")), F.col("id"), target_bytes=12_000)
+    sums = [r["n"] for r in got.groupBy("shard").agg(F.sum("bytes").alias("n"), F.count("*").alias("c")).collect()]
+    total = sum(i % 97 + 1 for i in range(5000))
+    assert len(sums) == -(-total // 12_000) and max(sums) < 1.1 * 12_000 and sum(sums) == total
