@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from itertools import pairwise
@@ -54,3 +55,13 @@ def crc_of_id(doc_id: Column) -> Column:
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts together: what partition counts are sized by."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"])
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays, idle, while other stages need the room."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

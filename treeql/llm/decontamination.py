@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise
+from treeql.llm._common import materialise, release
 
 #: UTF-8 bytes of text in a segment (one document may exceed it), and bytes of benchmark text searched at once.
 SEGMENT, QUERY_BLOCK = 8 << 20, 1 << 20
@@ -84,6 +84,8 @@ def build_index(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
                 now.add(k, t)
         if now.keys:
             yield now.rows(base + made)
+        del now
+        release()
 
     rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t"))
     return materialise(rows.mapInPandas(build, INDEX), "postings")
@@ -157,6 +159,8 @@ def search(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]], s
             a, b = bounds[k]
             change = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).tolist()
             spans[k] = [{"start": x, "end": y} for x, y in zip(change[::2], change[1::2], strict=True)]
+        del postings, named
+        release()
         return pd.DataFrame({
             "segment": np.full(len(keys), part["segment"].iloc[0]),
             "ordinal": np.arange(len(keys), dtype=np.int32),

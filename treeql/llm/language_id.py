@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, runs
+from treeql.llm._common import materialise, release, runs
 
 #: Words stand behind this mark, as in the vocabulary; longer words are scored in runs of so many characters.
 MARK, LONGEST = "▁", 32
@@ -273,6 +273,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang_out: str = "l
         for batch in batches:
             best, score = own.predict([t if isinstance(t, str) else None for t in batch["__text"]])
             yield batch.assign(__lang=best, __score=score)
+        batch = best = score = None
+        release()
 
     made = plain.mapInPandas(each, schema)
     back = dict(zip(others, names, strict=True)) | {text: "__text"}

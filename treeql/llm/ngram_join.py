@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, runs
+from treeql.llm._common import materialise, release, runs
 from treeql.llm._components import roots
 from treeql.llm._segments import WORD_HASHES, utf8
 from treeql.llm.substring_dedup import window_hashes
@@ -138,6 +138,7 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "md5": batch["md5"], "nodes": trie_nodes(batch["text"].tolist(), width, TREES, depth)})
+        release()
 
     signed = materialise(rows.withColumn("key", F.col("key").cast("string")).mapInPandas(sign, "key string, md5 string, nodes array<long>").withColumn("key", F.col("key").cast("long")), "signed")
     # Copies of a text are one node from here on.
@@ -182,6 +183,7 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", width:
                 label = moved
             some = near.any(axis=1)
             out.append(pd.DataFrame({"node": node[some], "to": node[label[some]], "links": (near @ copies)[some]}))
+        release()
         return pd.concat(out) if out else pd.DataFrame({"node": [], "to": [], "links": []})
 
     verified = materialise(full.groupBy("pack", "a", "b").applyInPandas(verify, "node long, to long, links long"), "links")
