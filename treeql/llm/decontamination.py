@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from treeql.llm._common import materialise, release
 
-#: UTF-8 bytes of text in a segment (one document may exceed it), and bytes of benchmark text searched at once.
+#: Characters of text in a segment (one document may exceed it), and of benchmark text searched at once.
 SEGMENT, QUERY_BLOCK = 8 << 20, 1 << 20
 
 #: Lower-cases A-Z and turns every other byte below 0x80 but digits and letters into a space.
@@ -190,30 +190,28 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     One row for each document row: doc_id (the key as text), n_words, spans (maximal runs of words hit), items (those with an
     occurring window, as text, in order). Null texts and texts without words have no words, no spans and no
     items; an item without words has no window; repeated rows each get their row; other columns of either
-    table are not read. An empty benchmark hits nothing. The benchmark is read in blocks of QUERY_BLOCK bytes, one
-    after another, so what is broadcast is bounded however long it is.
+    table are not read. An empty benchmark hits nothing. The benchmark is read in blocks of QUERY_BLOCK characters,
+    each searched before the next is read, so what the driver holds and broadcasts is bounded however long it is.
     """
     index = build_index(df, text, key)
-    blocks: list[list[tuple[str, list[tuple[bytes, ...]]]]] = []
     rows = benchmark.select(F.col(f"`{item_key}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).filter(F.col("t").isNotNull()).orderBy("i", "t")
-    held, now = 0, []
+    done, held, now = [], 0, []
     for r in rows.toLocalIterator():
         if now and held + len(r["t"]) > QUERY_BLOCK:
-            blocks.append(now)
+            done.append(materialise(search(index, now, slop), "matches"))
             held, now = 0, []
         now.append((r["i"] or "", windows(terms_of(r["t"]), width)))
         held += len(r["t"])
-    blocks.append(now)
-    done = [search(index, b, slop) for b in blocks]
-    if len(done) == 1:
-        return done[0].drop("segment", "ordinal")
-    return _merged(done)
+    last = search(index, now, slop)
+    if not done:
+        return last.drop("segment", "ordinal")
+    return _merged([*done, last])
 
 
 def _merged(done: list[DataFrame]) -> DataFrame:
-    both = materialise(done[0], "matches")
+    both = done[0]
     for more in done[1:]:
-        both = both.unionByName(materialise(more, "matches"))
+        both = both.unionByName(more)
     gathered = both.groupBy("segment", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return gathered.select("doc_id", "n_words", merged_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
