@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, release
+from treeql.llm._common import materialise, release, text_runs
 
 #: Characters of text in a segment (one document may exceed it), and of benchmark text searched at once.
 SEGMENT, QUERY_BLOCK = 8 << 20, 1 << 20
@@ -48,21 +49,24 @@ class _Segment:
         self.ends.append(self.words)
         self.held += len(text) if isinstance(text, str) else 0
 
-    def rows(self, segment: int) -> pd.DataFrame:
+    def rows(self, segment: int) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
-        order = np.argsort(ids, kind="stable").astype(np.uint32)
+        data = np.argsort(ids, kind="stable").astype(np.uint32)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(self.number)))])
-        data = order.tobytes()
-        lists = [data[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        n, m = len(lists), len(self.keys)
-        spans = [np.array([a, b], np.uint32).tobytes() for a, b in zip([0, *self.ends[:-1]], self.ends, strict=True)]
-        return pd.DataFrame({
-            "segment": np.full(n + m, segment, np.int64),
-            "term": [*self.number, *[None] * m],
-            "postings": [*lists, *[None] * m],
-            "doc_id": [*[None] * n, *self.keys],
-            "starts": [None] * n + spans,
-        })
+        n, m = len(self.number), len(self.keys)
+        bounds = np.array([[0, *self.ends[:-1]], self.ends], np.uint32).T
+        # Postings are slices of one buffer; the directory's rows have none.
+        offsets = np.concatenate([4 * cuts, np.full(m, 4 * cuts[-1])]).astype(np.int32)
+        some = np.packbits(np.arange(n + m) < n, bitorder="little")
+        postings = pa.Array.from_buffers(pa.binary(), n + m, [pa.py_buffer(some), pa.py_buffer(offsets), pa.py_buffer(data)], null_count=m)
+        columns = [
+            pa.array(np.full(n + m, segment, np.int64)),
+            pa.array([*self.number, *[None] * m], pa.binary()),
+            postings,
+            pa.array([*[None] * n, *self.keys], pa.string()),
+            pa.array([*[None] * n, *(row.tobytes() for row in bounds)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "term", "postings", "doc_id", "starts"])
 
 
 def build_index(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -72,23 +76,25 @@ def build_index(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     Written once to the shared folder, so segments stay the same whatever executors are lost later.
     """
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, made, now = TaskContext.get().partitionId() << 32, 0, _Segment()
         for batch in batches:
-            for k, t in zip(batch["k"], batch["t"], strict=True):
-                if now.held and now.held + len(t or "") > SEGMENT:
-                    yield now.rows(base + made)
-                    made, now = made + 1, _Segment()
-                now.add(k, t)
+            keys = batch.column("k").to_pylist()
+            for a, texts in text_runs(batch.column("t"), SEGMENT):
+                for k, t in zip(keys[a:], texts, strict=False):
+                    if now.held and now.held + len(t or "") > SEGMENT:
+                        yield now.rows(base + made)
+                        made, now = made + 1, _Segment()
+                    now.add(k, t)
         if now.keys:
             yield now.rows(base + made)
         del now
         release()
 
-    rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t"))
-    return materialise(rows.mapInPandas(build, INDEX), "postings")
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    return materialise(rows.mapInArrow(build, INDEX), "postings")
 
 
 def windows(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:

@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, release, runs
+from treeql.llm._common import materialise, release, runs, text_runs
 
 #: Words stand behind this mark, as in the vocabulary; longer words are scored in runs of so many characters.
 MARK, LONGEST = "▁", 32
@@ -265,18 +266,21 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang_out: str = "l
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (lang_out, score_out)])
     others = [c for c in kept.columns if c != text]
     names = [f"c{i}" for i in range(len(others))]
-    plain = kept.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)])
+    plain = kept.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)])
     schema = plain.withColumns({"__lang": F.lit(""), "__score": F.lit(0.0)}).schema
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(sent.value)
         for batch in batches:
-            best, score = own.predict([t if isinstance(t, str) else None for t in batch["__text"]])
-            yield batch.assign(__lang=best, __score=score)
-        batch = best = score = None
+            best, score = [], []
+            for _, texts in text_runs(batch.column(0), BLOCK):
+                x, y = own.predict(texts)
+                best += x
+                score += y.tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
         release()
 
-    made = plain.mapInPandas(each, schema)
+    made = plain.mapInArrow(each, schema)
     back = dict(zip(others, names, strict=True)) | {text: "__text"}
     return made.select(*[F.col(back[c]).alias(c) for c in kept.columns], F.col("__lang").alias(lang_out), F.col("__score").alias(score_out))
 

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, release, runs
+from treeql.llm._common import materialise, release, runs, text_runs
 from treeql.llm._components import roots
 from treeql.llm._segments import WORD_HASHES, utf8
 from treeql.llm.substring_dedup import window_hashes
@@ -135,12 +136,15 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     depth = prefix_length(threshold)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("md5", F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "md5": batch["md5"], "nodes": trie_nodes(batch["text"].tolist(), width, TREES, depth)})
+            for a, texts in text_runs(batch.column("text"), CHARS):
+                nodes = pa.array(trie_nodes(texts, width, TREES, depth), pa.list_(pa.int64()))
+                own = batch.slice(a, len(texts))
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("md5"), nodes], names=["key", "md5", "nodes"])
         release()
 
-    signed = materialise(rows.withColumn("key", F.col("key").cast("string")).mapInPandas(sign, "key string, md5 string, nodes array<long>").withColumn("key", F.col("key").cast("long")), "signed")
+    signed = materialise(rows.mapInArrow(sign, "key long, md5 string, nodes array<long>"), "signed")
     # Copies of a text are one node from here on.
     texts = signed.filter("nodes IS NOT NULL").groupBy("md5").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min("nodes").alias("nodes"))
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
