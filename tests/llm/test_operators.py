@@ -467,3 +467,29 @@ def test_kd_target_bytes(spark):
     sums = [r["n"] for r in got.groupBy("shard").agg(F.sum("bytes").alias("n"), F.count("*").alias("c")).collect()]
     total = sum(i % 97 + 1 for i in range(5000))
     assert len(sums) == -(-total // 12_000) and max(sums) < 1.1 * 12_000 and sum(sums) == total
+
+
+def test_text_runs():
+    import pyarrow as pa
+
+    from treeql.llm._common import text_runs
+
+    texts = ["aa", None, "", "é" * 5, "x", "yyy", None]
+    for column in (pa.array(texts, pa.string()), pa.array(["0", *texts], pa.string()).slice(1)):
+        for most in (1, 4, 1000):
+            found = list(text_runs(column, most))
+            assert [t for _, own in found for t in own] == texts and [a for a, _ in found] == list(itertools.accumulate([len(own) for _, own in found], initial=0))[:-1]
+            assert all(len(list(filter(None, own))) == 1 or sum(len((t or "").encode()) for t in own) <= most for _, own in found)
+    assert list(text_runs(pa.array([], pa.string()), 5)) == []
+
+
+def test_language_id_keeps_other_columns(spark):
+    from treeql.llm.language_id import Model, identify
+
+    df = spark.sql("""select 'the text' as text, timestamp'2020-01-02 03:04:05.678901' as a, timestamp_ntz'2020-01-02 03:04:05' as b, date'2020-02-03' as c, 1.25BD as d, array(1, null) as e,
+        named_struct('x', 'y', 'z', array('q')) as f, map('k', 2.5D) as g, x'00ff' as h, true as i, cast(null as string) as j union all select null, null, null, null, null, null, null, null, null, null, 'j'""")
+    model = Model(["\u2581", "the", "t"], ["en"], np.array([[0.5], [0.3], [0.1], [0.1]]), np.zeros(1))
+    found = identify(df, model)
+    assert found.columns == [*df.columns, "lang_pred", "score"] and found.drop("lang_pred", "score").dtypes == df.dtypes
+    assert sorted(map(str, found.drop("lang_pred", "score").collect())) == sorted(map(str, df.collect()))
+    assert sorted(r["lang_pred"] for r in found.collect()) == ["en", "und"]
