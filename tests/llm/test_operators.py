@@ -472,7 +472,7 @@ def test_kd_target_bytes(spark):
 def test_text_runs():
     import pyarrow as pa
 
-    from treeql.llm._common import text_runs
+    from treeql.llm._arrow import text_runs
 
     texts = ["aa", None, "", "é" * 5, "x", "yyy", None]
     for column in (pa.array(texts, pa.string()), pa.array(["0", *texts], pa.string()).slice(1)):

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Iterator
 from itertools import pairwise
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +46,6 @@ def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     return ((a, b) for a, b in pairwise(cuts) if b > a)
 
 
-def text_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
-    """(index of the first, texts) of consecutive runs of about `most` bytes, so that a batch is never held as Python strings as a whole."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    for a, b in runs(sizes, most):
-        yield a, texts.slice(a, b - a).to_pylist()
-
-
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id written as text, unsigned; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -64,11 +54,3 @@ def crc_of_id(doc_id: Column) -> Column:
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts together: what partition counts are sized by."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"])
-
-
-def release() -> None:
-    """Give freed memory back to the system: a Python worker stays, idle, while other stages need the room."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, release, text_runs
+from treeql.llm._arrow import release, text_runs
+from treeql.llm._common import materialise
 
 #: Characters of text in a segment (one document may exceed it), and of benchmark text searched at once.
 SEGMENT, QUERY_BLOCK = 8 << 20, 1 << 20

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, release, runs, text_runs
+from treeql.llm._arrow import release, text_runs
+from treeql.llm._common import materialise, runs
 
 #: Words stand behind this mark, as in the vocabulary; longer words are scored in runs of so many characters.
 MARK, LONGEST = "▁", 32

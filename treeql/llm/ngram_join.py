@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeql.llm._common import materialise, release, runs, text_runs
+from treeql.llm._arrow import release, text_runs
+from treeql.llm._common import materialise, runs
 from treeql.llm._components import roots
 from treeql.llm._segments import WORD_HASHES, utf8
 from treeql.llm.substring_dedup import window_hashes
