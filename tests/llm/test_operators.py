@@ -297,6 +297,22 @@ def test_neighbours(spark):
     assert neighbours(df.limit(0), F.lit(True)).count() == 0 and neighbours(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_neighbours_visit_more_where_needed(spark):
+    from treeql.llm.ann_forest import neighbours
+
+    v = np.random.default_rng(8).normal(size=(6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    # 1200 rows over 12 trees are 100 of the 6000 a tree: without the measurement about a third of the neighbours is found.
+    got = neighbours(df, F.col("vec_id") % 60 == 0, visited=1200).collect()
+    unit = v.astype(np.float64) / np.sqrt((v.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    hits = 0
+    for q in range(0, 6000, 60):
+        scores = unit @ unit[q]
+        scores[q] = -9
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-scores)[:5].tolist()))
+    assert hits >= 0.95 * 500 and {r["query_id"] for r in got} == set(range(0, 6000, 60))
+
+
 def test_warc(spark, tmp_path):
     from treeql.llm.warc_archive import archive_and_read, read_archive, write_archive
 

@@ -2,17 +2,20 @@
 
 The trees' splits are learned from a bounded sample; every row is then filed in a leaf of every tree. A query
 walks all trees through one priority queue, ordered by the least margin to a split on the way, until the leaves
-met hold enough rows; the rows of these leaves are ranked by their exact cosine.
+met hold enough rows; the rows of these leaves are ranked by their exact cosine. How many are enough is measured on
+the table: some queries are compared with every row, and the walks go as far as finds the wanted share of their neighbours.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ from treeql.llm._common import materialise
 
 #: Rows that the splits are learned from at most (all are filed), trees, wanted rows of a leaf, rows and queries of a block.
 SAMPLE, TREES, LEAF, MEMBERS, QUERIES = 20_000, 12, 128, 4096, 1024
-#: Rows that the leaves a query visits hold together, counted anew in every tree: fixed, so that work grows with the rows.
+#: Rows that the leaves a query visits hold together at least, counted anew in every tree.
 VISITED = 32_000
+#: Share of the true neighbours that the walks are to find, and queries at most that it is measured on.
+RECALL, PROBES = 0.95, 200
 
 
 @dataclass(frozen=True)
@@ -75,13 +80,12 @@ def leaves(tree: Tree, vectors: np.ndarray) -> np.ndarray:
     return -1 - at
 
 
-def walk(trees: list[Tree], vector: np.ndarray, enough: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of a queue shared by all trees, until their shares add up to `enough`."""
+def visits(trees: list[Tree], vector: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(tree, leaf) in the order of a queue shared by all trees, to the last leaf."""
     margins = [t.normals @ vector for t in trees]
     queue = [(-np.inf, k, 0 if len(t.normals) else -1) for k, t in enumerate(trees)]
     heapq.heapify(queue)
-    out, met = [], 0.0
-    while queue and met < enough:
+    while queue:
         cost, k, at = heapq.heappop(queue)
         while at >= 0:
             m = margins[k][at]
@@ -89,8 +93,29 @@ def walk(trees: list[Tree], vector: np.ndarray, enough: float) -> list[tuple[int
             near, far = (above, below) if m > 0 else (below, above)
             heapq.heappush(queue, (max(cost, abs(m)), k, far))
             at = near
-        out.append((k, -1 - at))
-        met += trees[k].shares[-1 - at]
+        yield k, -1 - at
+
+
+def walk(trees: list[Tree], vector: np.ndarray, enough: float) -> list[tuple[int, int]]:
+    """The visits until their shares add up to `enough`."""
+    out, met = [], 0.0
+    for k, leaf in visits(trees, vector):
+        if met >= enough:
+            break
+        out.append((k, leaf))
+        met += trees[k].shares[leaf]
+    return out
+
+
+def needed(trees: list[Tree], vector: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted unit vector, the sum of shares that a walk has to pass to visit a leaf that holds it."""
+    homes = [leaves(t, wanted) for t in trees]
+    out, met = np.full(len(wanted), np.inf), 0.0
+    for k, leaf in visits(trees, vector):
+        out[np.isinf(out) & (homes[k] == leaf)] = met
+        if np.isfinite(out).all():
+            break
+        met += trees[k].shares[leaf]
     return out
 
 
@@ -98,6 +123,10 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(np.float64)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
 def top(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     """Indices of the n best: by score, ties to the smaller id. All equals of the last are looked at."""
     if len(scores) > n:
@@ -108,11 +137,49 @@ def top(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:n]
 
 
-def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", visited: int = VISITED, trees: int = TREES) -> DataFrame:
+def _enough(rows: DataFrame, probes: pd.DataFrame, forest: Broadcast, k: int, recall: float) -> float:
+    """The sum of shares by which walks have found `recall` of the k true neighbours of the probes (id, v) in rows (id, v).
+
+    One pass over the rows; k rows a probe and task are kept.
+    """
+    if not len(probes):
+        return 0.0
+    unit = _unit(_matrix(probes["v"]))
+    asked = rows.sparkSession.sparkContext.broadcast((probes["id"].to_numpy(), unit))
+    place = f"q int, id long, score double, v {rows.schema['v'].dataType.simpleString()}"
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = asked.value
+        best = None
+        for batch in batches:
+            for a in range(0, len(batch), 2000):
+                part = batch.iloc[a : a + 2000]
+                own, scores = part["id"].to_numpy(), vectors @ _unit(_matrix(part["v"])).T
+                scores[ids[:, None] == own] = -np.inf
+                at = [top(own, x, k) for x in scores]
+                flat = np.concatenate(at)
+                q = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in at])
+                found = pd.DataFrame({"q": q, "id": own[flat], "score": scores[q, flat], "v": part["v"].to_numpy()[flat]})
+                found = found[found["score"] > -np.inf]
+                best = (found if best is None else pd.concat([best, found])).sort_values(["q", "score", "id"], ascending=[True, False, True])
+                best = best.drop_duplicates(["q", "id"]).groupby("q").head(k)
+        if best is not None:
+            yield best
+
+    def cost(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["score", "id"], ascending=[False, True]).drop_duplicates("id").head(k)
+        return pd.DataFrame({"met": needed(forest.value, asked.value[1][own["q"].iloc[0]], _unit(_matrix(own["v"])))})
+
+    met = rows.select("id", "v").mapInPandas(nearest, place).repartition(16, "q").groupBy("q").applyInPandas(cost, "met double").toPandas()["met"].sort_values().to_numpy()
+    return float(np.nextafter(met[max(0, math.ceil(recall * len(met)) - 1)], np.inf)) if len(met) else 0.0
+
+
+def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", visited: int = VISITED, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine, double precision) of the k nearest found of each query row.
 
     query: which rows of df ask; candidates are all rows but those with the query's own key. visited: how many
-    rows the leaves that a query visits hold together, a row counted in every tree; with few rows all are found.
+    rows the leaves that a query visits hold together at least, a row counted in every tree; with few rows all are found.
+    recall: PROBES queries, or all where fewer, are compared with every row; all queries visit as much as finds this share of those neighbours.
     Vectors that are null, zero, hold null or non-finite values, or are not of the commonest length, and null keys take no part.
     Of rows alike in key the best counts once; a query key asked by several rows is answered for one of them (the
     least vector). Ties go to the smaller key. An empty table gives an empty result; other columns are not read.
@@ -137,14 +204,11 @@ def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", ve
     forest = [grow(sample, leaf, seed) for seed in range(trees)]
     sent = spark.sparkContext.broadcast(forest)
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 2000):
                 part = batch.iloc[a : a + 2000]
-                v = unit(_matrix(part["v"]))
+                v = _unit(_matrix(part["v"]))
                 for t, tree in enumerate(sent.value):
                     yield pd.DataFrame({"tree": np.full(len(part), t, np.int32), "leaf": leaves(tree, v).astype(np.int32), "id": part["id"].to_numpy(), "v": part["v"].to_numpy()})
 
@@ -152,7 +216,7 @@ def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", ve
         for batch in batches:
             for a in range(0, len(batch), 200):
                 part = batch.iloc[a : a + 200]
-                met = [walk(sent.value, v, visited / total) for v in unit(_matrix(part["v"]))]
+                met = [walk(sent.value, v, enough) for v in _unit(_matrix(part["v"]))]
                 n = [len(x) for x in met]
                 flat = np.array([x for own in met for x in own], np.int32).reshape(-1, 2)
                 at = np.repeat(np.arange(len(part)), n)
@@ -162,6 +226,8 @@ def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", ve
     filed = rows.select("id", "v").mapInPandas(file, place)
     # Queries are small but take long: they are dealt out by number, not by bytes.
     asking = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v")).repartition(max(16, total // 10_000), "id")
+    probes = asking.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(PROBES).toPandas()
+    enough = max(visited / total, _enough(rows, probes, sent, k, recall))
     asked = asking.mapInPandas(ask, place)
     # A leaf may hold any share of the rows (copies of one vector): it is dealt into blocks of members and of queries.
     sizes = filed.groupBy("tree", "leaf").agg(F.count("*").alias("members")).join(asked.groupBy("tree", "leaf").agg(F.count("*").alias("asking")), ["tree", "leaf"])
