@@ -119,6 +119,49 @@ def test_language_model():
     assert np.allclose(counts, [3, 6, 0])
 
 
+def test_language_model_of_long_words():
+    from treeql.llm.language_id import Lattice, Model, Scorer, expected_counts, log_probabilities
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "aba", "▁ab"]
+    p = np.array([[0.2, 0.1, 0.3, 0.2, 0.1, 0.05, 0.05, 1e-12], [0.1, 0.3, 0.2, 0.1, 0.2, 0.02, 0.08, 1e-11]]).T
+    rng = random.Random(6)
+
+    def brute(word, k):
+        w = "▁" + word
+        sums = [(1, 0)] + [(0, 0)] * len(w)  # mantissa and exponent of 2, exact enough at any length
+        for i in range(len(w)):
+            for j in range(i + 1, min(i + 3, len(w)) + 1):
+                x = w[i:j]
+                q = p[pieces.index(x), k] if x in pieces else p[-1, k] if j == i + 1 else 0
+                if q:
+                    m, e = math.frexp(sums[i][0] * q)
+                    e += sums[i][1]
+                    top = max(e, sums[j][1]) if sums[j][0] else e
+                    sums[j] = math.ldexp(m, e - top) + math.ldexp(sums[j][0], sums[j][1] - top), top
+        return math.log(sums[-1][0]) + sums[-1][1] * math.log(2)
+
+    words = ["".join(rng.choice(kind) for _ in range(n)) for n in (1, 9, 31, 32, 33, 34, 40, 41, 300, 330, 20_000) for kind in ("ab", "abq", "qr")]
+    lattice = Lattice(pieces)
+    want = np.array([[brute(w, 0), brute(w, 1)] for w in words])
+    assert np.allclose(log_probabilities(lattice, p, words), want, rtol=1e-10, atol=1e-9)
+    # An expected count is the derivative of the log probability by the piece's own.
+    few, times = [w for w in words if len(w) < 999], np.arange(1.0, 31)
+    for piece in (0, 2, 4, 7):
+        up, down = p.copy(), p.copy()
+        up[piece] *= 1 + 1e-5
+        down[piece] *= 1 - 1e-5
+        slope = (log_probabilities(lattice, up, few) - log_probabilities(lattice, down, few))[:, 0] / 2e-5
+        assert np.isclose(expected_counts(lattice, p[:, 0], few, times)[piece], slope @ times, rtol=1e-6)
+    assert np.isfinite(expected_counts(lattice, p[:, 0], words, np.ones(len(words)))).all()
+    # Unknown characters in a row leave later texts of the block alone.
+    scorer = Scorer(Model(pieces, ["xx", "yy"], p, np.log([0.5, 0.5])))
+    clean = ["ab aba", "b b b", "a"]
+    best, score = scorer.predict(["ａ" * 40, *clean, "Ꭰ" * 5000, *clean])
+    alone = [scorer.predict([t]) for t in clean]
+    assert np.isfinite(score).all() and best[1:4] == best[5:] == [b[0] for b, _ in alone] and np.allclose(score[1:4], [s[0] for _, s in alone]) and np.allclose(score[1:4], score[5:])
+    assert best[0] == best[4] == "yy" and score[0] > 0.99
+
+
 def test_language_id(spark, docs, none):
     from treeql.llm.language_id import fit, identify, public_pieces
 

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from treeql.llm._arrow import release
 from treeql.llm._common import materialise, runs
 
-#: Words stand behind this mark, as in the vocabulary; longer words are scored in runs of so many characters.
+#: Words stand behind this mark, as in the vocabulary; those of more characters go through the lattice with somewhat longer ones.
 MARK, LONGEST = "▁", 32
+#: Stands behind the end of a word beside longer ones; no code point. Steps of the forward sum after which it is scaled.
+PAD, STEPS = 0x1FFFFF, 8
 #: Words remembered by a worker, words that pass the lattice together, and characters tokenised together.
 CACHED, LOCKSTEP, BLOCK = 300_000, 10_000, 1 << 20
 #: A character outside the vocabulary is one of so many.
@@ -58,83 +60,127 @@ class Lattice:
         self.nodes = np.array([numbers[k] for k in keys.tolist()] + [0], np.int64)
         self.token = np.array(tokens, np.int64)
 
-    def arcs(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """words: [n, length] code points of words of one length. By start: (width, rows, pieces)."""
+    def arcs(self, words: np.ndarray, back: bool = False) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """words: [n, length] code points, padded. Each start, from the last if `back`, with its (width, rows, pieces); PAD is the piece unknown + 1."""
         n, length = words.shape
-        out = []
-        for i in range(length):
-            rows, node, here = np.arange(n), np.zeros(n, np.int64), []
-            single = np.zeros(n, bool)
-            for d in range(1, min(self.deepest, length - i) + 1):
-                key = node << 21 | words[rows, i + d - 1]
+        # Many starts of few words are looked up together.
+        block = max(1, LOCKSTEP // n)
+        firsts = range(0, length, block)
+        for first in reversed(firsts) if back else firsts:
+            m = min(block, length - first)
+            start, rows = np.repeat(np.arange(first, first + m), n), np.tile(np.arange(n), m)
+            node, here, single = np.zeros(n * m, np.int64), [[] for _ in range(m)], np.zeros((m, n), bool)
+            for d in range(1, min(self.deepest, length - first) + 1):
+                inside = start + d <= length
+                start, rows, node = start[inside], rows[inside], node[inside]
+                key = node << 21 | words[rows, start + d - 1]
                 at = np.searchsorted(self.keys, key)
                 alive = self.keys[at] == key
-                rows, node = rows[alive], self.nodes[at[alive]]
+                start, rows, node = start[alive], rows[alive], self.nodes[at[alive]]
                 token = self.token[node]
                 ends = token >= 0
                 if ends.any():
-                    here.append((d, rows[ends], token[ends]))
+                    own, own_rows, own_token = start[ends] - first, rows[ends], token[ends]
+                    cuts = np.searchsorted(own, np.arange(m + 1)).tolist()
+                    for i in np.unique(own).tolist():
+                        here[i].append((d, own_rows[cuts[i] : cuts[i + 1]], own_token[cuts[i] : cuts[i + 1]]))
                     if d == 1:
-                        single[rows[ends]] = True
+                        single[own, own_rows] = True
                 if not len(rows):
                     break
-            if not single.all():
-                lone = np.flatnonzero(~single)
-                here.append((1, lone, np.full(len(lone), self.unknown)))
-            out.append(here)
-        return out
+            for i in np.flatnonzero(~single.all(axis=1)).tolist():
+                lone = np.flatnonzero(~single[i])
+                here[i].append((1, lone, np.where(words[lone, first + i] == PAD, self.unknown + 1, self.unknown)))
+            for i in reversed(range(m)) if back else range(m):
+                yield first + i, here[i]
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays of words of one length, with their code points behind MARK; LOCKSTEP words at most."""
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        own = np.flatnonzero(lengths == n)
-        for a in range(0, len(own), LOCKSTEP):
-            at = own[a : a + LOCKSTEP]
-            flat = "".join(MARK + words[i] for i in at)
-            yield at, np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n + 1).astype(np.int64)
+    """Index arrays of words of one length, or of similar ones beyond LONGEST, with their code points behind MARK, padded; LOCKSTEP words at most."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    ordered, a = lengths[order], 0
+    while a < len(order):
+        n = int(ordered[a])
+        widest = n if n <= LONGEST else n * 5 // 4
+        most = max(1, LOCKSTEP * min(LONGEST, widest + 1) // (widest + 1))
+        at = order[a : min(a + most, int(np.searchsorted(ordered, widest, "right")))]
+        a += len(at)
+        width = int(lengths[at[-1]]) + 1
+        points = np.full((len(at), width), PAD, np.int64)
+        flat = "".join(MARK + words[i] for i in at)
+        points[np.arange(width) <= lengths[at][:, None]] = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield at, points
+
+
+def _with_pad(p: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """p with probability 1 for PAD, if it occurs."""
+    return np.concatenate([p, np.ones((1, *p.shape[1:]))]) if (points[:, -1] == PAD).any() else p
 
 
 def log_probabilities(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
     """[word, language]: log of the summed probability of all segmentations; p: [piece, language]."""
     out = np.zeros((len(words), p.shape[1]))
     for at, points in _by_length(words):
-        alpha = np.zeros((points.shape[1] + 1, len(at), p.shape[1]))
+        q, length = _with_pad(p, points), points.shape[1]
+        # Sums are held for the positions that a piece can still reach, divided by exp(logs) together.
+        held = min(lattice.deepest, length) + 1
+        alpha, logs = np.zeros((held, len(at), p.shape[1])), np.zeros((len(at), p.shape[1]))
         alpha[0] = 1
-        for i, here in enumerate(lattice.arcs(points)):
+        for i, here in lattice.arcs(points):
+            if i and i % STEPS == 0:
+                logs += _rescale(alpha)
+            own = alpha[i % held]
             for d, rows, token in here:
-                alpha[i + d, rows] += alpha[i, rows] * p[token]
-        out[at] = np.log(alpha[-1])
+                alpha[(i + d) % held, rows] += own[rows] * q[token]
+            own[:] = 0
+        out[at] = logs + np.log(alpha[length % held])
     return out
 
 
+def _rescale(sums: np.ndarray) -> np.ndarray:
+    """Divide by the greatest along the first axis; its logs."""
+    top = sums.max(axis=0)
+    top[top == 0] = 1
+    sums /= top
+    return np.log(top)
+
+
 def expected_counts(lattice: Lattice, p: np.ndarray, words: list[str], n: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words that occur n times; p: by piece, of one language."""
-    out = np.zeros(len(p))
+    out = np.zeros(len(p) + 1)
     for at, points in _by_length(words):
-        arcs = lattice.arcs(points)
-        alpha, beta = np.zeros((2, points.shape[1] + 1, len(at)))
-        alpha[0] = beta[-1] = 1
-        for i, here in enumerate(arcs):
+        q, length = np.append(p, 1.0), points.shape[1]
+        held = min(lattice.deepest, length) + 1
+        # alpha[i] exp(scale[i]) is the forward sum; met is the probability of a piece's end at a position, which needs no scaling.
+        alpha, scale, logs = np.zeros((length + 1, len(at))), np.zeros((length + 1, len(at))), np.zeros(len(at))
+        alpha[0] = 1
+        for i, here in lattice.arcs(points):
+            if i and i % STEPS == 0:
+                logs = logs + _rescale(alpha[i : i + held])
+            scale[i] = logs
             for d, rows, token in here:
-                alpha[i + d, rows] += alpha[i, rows] * p[token]
-        for i in reversed(range(len(arcs))):
-            for d, rows, token in arcs[i]:
-                beta[i, rows] += p[token] * beta[i + d, rows]
-        share = n[at] / alpha[-1]
-        for i, here in enumerate(arcs):
+                alpha[i + d, rows] += alpha[i, rows] * q[token]
+        scale[length] = logs
+        with np.errstate(divide="ignore"):
+            above = np.log(alpha) + scale
+        under, met = np.where(alpha > 0, above, np.inf), np.zeros((length + 1, len(at)))
+        met[length] = 1
+        for i, here in lattice.arcs(points, back=True):
             for d, rows, token in here:
-                out += np.bincount(token, alpha[i, rows] * p[token] * beta[i + d, rows] * share[rows], len(p))
-    return out
+                got = met[i + d, rows] * q[token] * np.exp(above[i, rows] - under[i + d, rows])
+                met[i, rows] += got
+                got *= n[at[rows]]
+                if len(rows) < 1000:
+                    np.add.at(out, token, got)
+                else:
+                    out += np.bincount(token, got, len(out))
+    return out[:-1]
 
 
 def words_of(text: str) -> list[str]:
-    """White-space words; longer ones in runs of LONGEST characters."""
-    found = text.split()
-    if len(text) > LONGEST and max(map(len, found), default=0) > LONGEST:
-        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
-    return found
+    """White-space words."""
+    return text.split()
 
 
 @dataclass(frozen=True)
@@ -150,33 +196,37 @@ class Model:
 
 
 class Scorer(dict):
-    """Word -> row of its log probabilities; starts anew beyond CACHED words."""
+    """Word -> row of its log probabilities; starts anew beyond CACHED words, or LONGEST times as many characters."""
 
     def __init__(self, model: Model):
         import regex
 
         self.model, self.lattice = model, Lattice(model.pieces)
         self.letter = regex.compile(r"\p{L}")
-        self.logs = np.zeros((0, len(model.languages)), np.float64)
+        self.logs, self.held = np.zeros((0, len(model.languages)), np.float64), 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.held += len(word)
         return n
 
     def _block(self, texts: list[str]) -> np.ndarray:
-        if len(self) > CACHED:
+        if len(self) > CACHED or self.held > CACHED * LONGEST:
             self.clear()
-            self.logs = self.logs[:0]
+            self.logs, self.held = self.logs[:0], 0
         self.new: list[str] = []
         split = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in split])
         at = np.fromiter((self[w] for words in split for w in words), np.int64, int(lengths.sum()))
         if self.new:
             self.logs = np.concatenate([self.logs, log_probabilities(self.lattice, self.model.p, self.new)])
-        sums = np.concatenate([np.zeros((1, self.logs.shape[1])), np.cumsum(self.logs[at], axis=0)]) if len(at) else np.zeros((1, self.logs.shape[1]))
-        ends = np.cumsum(lengths)
-        return sums[ends] - sums[ends - lengths]
+        # Each text is summed by itself; those without words stay at 0.
+        out = np.zeros((len(texts), self.logs.shape[1]))
+        if len(at):
+            some = lengths > 0
+            out[some] = np.add.reduceat(self.logs[at], (np.cumsum(lengths) - lengths)[some], axis=0)
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         languages, best, score = self.model.languages, ["und"] * len(texts), np.zeros(len(texts))
