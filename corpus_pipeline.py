@@ -36,10 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a window of a benchmark item go."""
     from treeql.llm.decontamination import decontaminate
 
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    # Ids are unique here but for null ones, which near duplicates may have left several of: all of these go if one is hit.
-    hit = found.filter(F.size("items") > 0).select(F.coalesce(F.col("doc_id"), F.lit("")).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(hit, "__id", "left_anti").select(*docs.columns)
+    # A text alone settles whether it is hit, so texts are told apart by their digest, whatever their ids; null texts have none and stay.
+    told = docs.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256))
+    found = decontaminate(told, table(spark, sf_dir, "benchmark"), key="__text")
+    hit = found.filter(F.size("items") > 0).select(F.col("doc_id").alias("__text")).distinct()
+    return told.join(hit, "__text", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

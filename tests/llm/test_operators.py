@@ -518,6 +518,17 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert P.STAGES[-1][1](spark, none.select(columns), sf).count() == 0
 
 
+def test_pipeline_decontaminates_by_row(spark, tmp_path):
+    import corpus_pipeline as P
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    bad, good = "here one two three again", "one two and three"
+    rows = [(None, bad), (None, good), (None, None), (7, bad), (7, good), (7, good), (8, None), (9, ""), (10, bad)]
+    got = P.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[1] != bad), key=str)
+
+
 def test_kd_target_bytes(spark):
     from treeql.llm.kd_sharding import kd_shards
 
