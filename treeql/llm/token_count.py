@@ -32,6 +32,8 @@ from treeql.llm._common import runs
 
 #: Characters of a chunk, characters handled together, and pre-tokens remembered by a worker.
 CHUNK, BLOCK, CACHED = 256, 1 << 20, 400_000
+#: Bytes of a pre-token between two looks at the size of the table; characters of the longest pre-token remembered.
+SLICE, LONGEST = 1 << 14, 256
 
 # Character classes and states of the split transducer.
 LETTER, STMD, ELL, VEE, ARR, EEE, NUMBER, SPACE, WHITE, APOS, OTHER, EDGE = range(12)
@@ -142,7 +144,7 @@ def boundaries(classes: np.ndarray) -> np.ndarray:
 class MergeTransducer:
     """Bytes in, token counts out; states and transitions are made when first needed.
 
-    The table of transitions starts anew beyond `most` entries, so no text can fill memory. To keep it small,
+    The table of transitions starts anew when it has passed `most` entries, looked at every SLICE bytes, so no text can fill memory. To keep it small,
     an entry of a state is one number, node << 48 | (last token + 1) << 24 | tokens since; so is a transition,
     state << 8 | (tokens added + 128).
     """
@@ -208,14 +210,20 @@ class MergeTransducer:
         return found
 
     def count(self, data: bytes) -> int:
-        if len(self.table) > self.most:
-            self._clear()
         state = total = 0
-        get = self.table.get
-        for byte in data:
-            found = get(state << 8 | byte) or self._make(state, byte)
-            state = found >> 8
-            total += (found & 255) - 128
+        for a in range(0, len(data), SLICE):
+            if len(self.table) > self.most:
+                # A long pre-token goes on from the state it had come to.
+                here = self.states[state]
+                self._clear()
+                state = self.number.setdefault(here, len(self.states))
+                if state == len(self.states):
+                    self.states.append(here)
+            get = self.table.get
+            for byte in data[a : a + SLICE]:
+                found = get(state << 8 | byte) or self._make(state, byte)
+                state = found >> 8
+                total += (found & 255) - 128
         return total
 
 
@@ -241,7 +249,9 @@ class Counter(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= CACHED:
             self.clear()
-        self[piece] = n = self.machine.count(piece.encode("utf-8", "surrogatepass"))
+        n = self.machine.count(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= LONGEST:
+            self[piece] = n
         return n
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -305,14 +315,17 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: list[s
         raise ValueError(f"columns to keep clash with results: {sorted(clash)}")
     sent = df.sparkSession.sparkContext.broadcast(spec)
 
+    names = [f"c{i}" for i in range(len(keep))]
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = compiled(sent.value)
         for batch in batches:
-            texts = batch.pop("__text").tolist()
+            texts = batch.pop("body").tolist()
             batch["n_tokens"] = counter.texts(texts)
             yield batch
 
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    kept = kept.withColumn("n_bytes", F.octet_length("__text").cast("long"))
-    schema = kept.drop("__text").withColumn("n_tokens", F.lit(0).cast("long")).schema
-    return kept.mapInPandas(each, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    kept = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    kept = kept.withColumn("n_bytes", F.octet_length("body").cast("long"))
+    schema = kept.drop("body").withColumn("n_tokens", F.lit(0).cast("long")).schema
+    made = kept.mapInPandas(each, schema)
+    return made.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
