@@ -28,9 +28,8 @@ MARK, LONGEST = "▁", 32
 PAD, STEPS = 0x1FFFFF, 8
 #: Words remembered by a worker, words that pass the lattice together, and characters tokenised together.
 CACHED, LOCKSTEP, BLOCK = 300_000, 10_000, 1 << 20
-#: A character outside the vocabulary is one of so many.
-UNSEEN_CHARS = 1e4
-SMOOTHING = 0.02
+#: Probability of a character outside the vocabulary, the same in every language so that it speaks for none; added to every count.
+UNSEEN, SMOOTHING = 1e-11, 0.02
 
 
 def public_pieces(model_file: str) -> list[str]:
@@ -282,8 +281,8 @@ def fit(df: DataFrame, pieces: list[str], train: Column, text: str = "text", lan
                     yield pd.DataFrame({"k": np.full(len(n), number[x], np.int32), "word": list(n), "n": list(n.values())})
 
     types = materialise(sample.mapInPandas(count, "k int, word string, n long").groupBy("k", "word").agg(F.sum("n").alias("n")), "words")
-    p = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
-    p[-1] /= UNSEEN_CHARS
+    p = np.full((len(pieces) + 1, len(languages)), 1 / max(1, len(pieces)))
+    p[-1] = UNSEEN
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((pieces, p))
 
@@ -300,8 +299,8 @@ def fit(df: DataFrame, pieces: list[str], train: Column, text: str = "text", lan
         got = types.mapInPandas(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
         total = np.full(p.shape, SMOOTHING)
         total[got["piece"], got["k"]] += got["n"].to_numpy().round(6)
-        p = total / total.sum(axis=0)
-        p[-1] /= UNSEEN_CHARS
+        p = total / total[:-1].sum(axis=0)
+        p[-1] = UNSEEN
     return Model(pieces, languages, p, np.log(np.array(counts) / sum(counts)))
 
 
