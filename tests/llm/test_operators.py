@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -67,6 +68,8 @@ def test_token_counts(docs, none, texts):
     assert count_tokens(none, file).count() == 0
     with pytest.raises(ValueError):
         count_tokens(docs.withColumn("n_tokens", F.lit(1)), file)
+    odd = count_tokens(docs.select("doc_id", "text", F.lit(1).alias("__text"), F.lit(2).alias("body"), F.lit(3).alias("c0")), file)
+    assert odd.columns[:4] == ["doc_id", "__text", "body", "c0"] and {tuple(r[1:4]) for r in odd.collect()} == {(1, 2, 3)}
 
 
 def test_token_edges():
@@ -82,8 +85,17 @@ def test_token_edges():
     odd = ["", " ", "  a", "it's 'll 'l 've'v're re're", "\n\n x \n y\t\tz  ", "a<|endoftext|>b<|endoftext|>", "日本語テキスト ñ 123²½", "''s !'s  's \n's", "a\u0085b \x1c\x1d z", " " * 300 + "q", "-" * 500, "👨‍👩‍👧"]
     odd += ["".join(rng.choice("a'sltver 1\n\t.é<|") for _ in range(rng.randrange(700))) for _ in range(300)]
     assert counter.texts(odd).tolist() == [len(x.ids) for x in lib.encode_batch(odd, add_special_tokens=False)]
+    # The table starts anew inside a long pre-token as well.
+    long = ["".join(rng.choice("abcdefghijé") for _ in range(40_000)), "x" * 30_000]
     counter.machine.most = 50
-    assert counter.texts(["".join(rng.choice("abc") for _ in range(999))]).tolist()[0] > 0
+    from treeql.llm import token_count as T
+
+    kept, T.SLICE = T.SLICE, 64
+    try:
+        assert counter.texts(long).tolist() == [len(x.ids) for x in lib.encode_batch(long, add_special_tokens=False)]
+    finally:
+        T.SLICE = kept
+    assert len(counter.machine.table) < 50 + 64 + 1
     # Composing chunks' maps is running the machine.
     classes = np.array([rng.randrange(12) for _ in range(64)], np.uint8)
     maps = scan_maps(chunk_maps(classes.reshape(8, 8)))
@@ -162,6 +174,57 @@ def test_language_model_of_long_words():
     assert best[0] == best[4] == "yy" and score[0] > 0.99
 
 
+def test_language_fit_by_brute_force(spark):
+    from treeql.llm import language_id as I
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "aba", "▁ab"]
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice(k) for _ in range(rng.randrange(1, 6))) for _ in range(6)), lang) for i in range(30) for lang, k in [rng.choice([("xx", "aab"), ("yy", "abbq")])]]
+    rows += [(30, None, "xx"), (31, "ab", None), (32, "", "yy")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    used = [r for r in rows if r[0] % 3 != 1 and r[1] is not None and r[2]]
+
+    def ways(word):
+        w = "▁" + word
+        for cuts in itertools.product([0, 1], repeat=len(w) - 1):
+            parts, at = [], 0
+            for j, c in enumerate((*cuts, 1)):
+                if c:
+                    parts.append(w[at : j + 1])
+                    at = j + 1
+            numbers = [pieces.index(x) if x in pieces else len(pieces) if len(x) == 1 else -1 for x in parts]
+            if -1 not in numbers:
+                yield numbers
+
+    langs = ["xx", "yy"]
+    p = np.full((8, 2), 1 / 7)
+    p[-1] = I.UNSEEN
+    for _ in range(3):
+        total = np.full((8, 2), I.SMOOTHING)
+        for _, text, lang in used:
+            for word in text.split():
+                k = langs.index(lang)
+                weights = [(math.prod(p[x, k] for x in way), way) for way in ways(word)]
+                for weight, way in weights:
+                    for x in way:
+                        total[x, k] += weight / sum(w for w, _ in weights)
+        p = total / total[:-1].sum(axis=0)
+        p[-1] = I.UNSEEN
+    model = I.fit(train, pieces, F.col("doc_id") % 3 != 1)
+    assert model.languages == langs and np.allclose(model.p, p, rtol=1e-4)
+    prior = np.log([sum(r[2] == x for r in used) / len(used) for x in langs])
+    assert np.allclose(model.log_prior, prior)
+    tests = ["ab aba", "q b", "ｑ" * 70, "aab ｑｑ", "a" * 9, None, "12"]
+    got = {r["text"]: r for r in I.identify(spark.createDataFrame([(t,) for t in tests], "text string"), model).collect()}
+    for t in tests[:5]:
+        logs = np.array([prior[k] + sum(math.log(sum(math.prod(model.p[x, k] for x in way) for way in ways(w))) for w in t.split() if "ｑ" * 70 != w) for k in (0, 1)])
+        if t == "ｑ" * 70:
+            logs = prior + [math.log(model.p[0, k]) + 70 * math.log(I.UNSEEN) for k in (0, 1)]
+        post = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert got[t]["lang_pred"] == langs[int(post.argmax())] and abs(got[t]["score"] - post.max()) < 1e-9
+    assert got[None]["lang_pred"] == got["12"]["lang_pred"] == "und"
+
+
 def test_language_id(spark, docs, none):
     from treeql.llm.language_id import fit, identify, public_pieces
 
@@ -357,10 +420,10 @@ def test_neighbours_visit_more_where_needed(spark):
 
 
 def test_warc(spark, tmp_path):
-    from treeql.llm.warc_archive import archive_and_read, read_archive, write_archive
+    from treeql.llm.warc_archive import archive_and_read, export, read_archive, write_archive
 
     big = "<p>" + "é" * 700
-    pages = [(1, "http://a/1", big), (9, "http://a/9", big), (4, "u\r\nX: y%", big), (2, None, "small"), (3, "http://s", "small"), (5, "e", None), (6, "e", ""), (7, "h", "t" * 1000), (7, "h", "t" * 1000), (None, "n", "q" * 2000)]
+    pages = [(1, "http://a/x%20y%0Dz", big), (9, "http://a/9", big), (4, "u\r\nX: y%", big), (2, None, "small"), (3, "http://s", "small"), (5, "e", None), (6, "e", ""), (7, "h", "t" * 1000), (7, "h", "t" * 1000), (None, "n", "q" * 2000)]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, sha256 string")
     got = archive_and_read(df).collect()
     assert len(got) == len(pages)
@@ -371,6 +434,28 @@ def test_warc(spark, tmp_path):
         assert r["payload_digest"] == hashlib.sha1(bytes(r["payload"])).hexdigest()
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\n") and rest == (b"" if r["record_type"] == "revisit" else bytes(r["payload"])) + b"\r\n\r\n"
+        assert (b"WARC-Target-URI: " + (r["url"] or "about:blank").encode() + b"\r\n" in bytes(r["record"])) == ("\n" not in (r["url"] or ""))
+    # Exported files are whole records: read by length, each with an id of its own that revisits refer to.
+    files = str(tmp_path / "files")
+    export(archive_and_read(df), files)
+    found = []
+    for name in sorted(n for n in os.listdir(files) if n.startswith("part-")):
+        with open(os.path.join(files, name), "rb") as f:
+            data = f.read()
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            found.append((fields, data[:n]))
+            assert data[n : n + 4] == b"\r\n\r\n"
+            data = data[n + 4 :]
+    ids = {f["WARC-Record-ID"]: f for f, _ in found}
+    assert len(found) == len(ids) == len(pages) and all({"WARC-Type", "WARC-Target-URI", "WARC-Date"} <= set(f) for f, _ in found)
+    for f, body in found:
+        if f["WARC-Type"] == "revisit":
+            assert body == b"" and ids[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and ids[f["WARC-Refers-To"]]["WARC-Type"] == "response"
+        else:
+            assert f["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(body).hexdigest()
     path = str(tmp_path / "w")
     write_archive(df.limit(0), path)
     assert read_archive(spark, path).count() == 0

@@ -34,6 +34,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes sum to about `most` each; an item over it stands alone."""
     cuts, held = [0], 0
