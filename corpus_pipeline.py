@@ -6,30 +6,36 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeql.llm._common import crc_of_id, materialise
+from treeql.llm._common import crc_of_id, materialise, spare
 from treeql.llm.queries import public_file, table
 
 #: A document whose best language has a lower posterior is rejected.
 LEAST_SCORE = 0.5
 
 
+def named(docs: DataFrame) -> list[Column]:
+    """All columns of documents, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no language in particular, go."""
     from treeql.llm.language_id import fit, identify, public_pieces
 
     model = fit(docs, public_pieces(public_file("piece_bpe_32k.model")), crc_of_id(F.col("doc_id")) % 3 != 1)
-    scored = identify(docs, model, lang_out="__lang", score_out="__score")
-    return scored.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = spare(docs, "lang"), spare(docs, "score")
+    scored = identify(docs, model, lang_out=lang, score_out=score)
+    return scored.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*named(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least id stays."""
     from treeql.llm.ngram_join import drop_near_duplicates
 
-    return drop_near_duplicates(docs).select(*docs.columns)
+    return drop_near_duplicates(docs).select(*named(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +43,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from treeql.llm.decontamination import decontaminate
 
     # A text alone settles whether it is hit, so texts are told apart by their digest, whatever their ids; null texts have none and stay.
-    told = docs.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256))
-    found = decontaminate(told, table(spark, sf_dir, "benchmark"), key="__text")
-    hit = found.filter(F.size("items") > 0).select(F.col("doc_id").alias("__text")).distinct()
-    return told.join(hit, "__text", "left_anti").select(*docs.columns)
+    digest = spare(docs, "digest")
+    told = docs.withColumn(digest, F.sha2(F.col("text").cast("binary"), 256))
+    found = decontaminate(told, table(spark, sf_dir, "benchmark"), key=digest)
+    hit = found.filter(F.size("items") > 0).select(F.col("doc_id").alias(digest)).distinct()
+    return told.join(hit, digest, "left_anti").select(*named(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes the block at its middle."""
     from treeql.llm.mixing import mix
 
-    mixed = mix(docs).filter("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).select(*docs.columns)
+    # Columns of the mix's own names pass through under others.
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    mixed = mix(docs.toDF(*inner), **{k: inner[docs.columns.index(c)] for k, c in (("text", "text"), ("key", "doc_id"), ("source", "source"))}).filter("copies > 0")
+    each = mixed.select(*inner, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
