@@ -563,29 +563,84 @@ def test_log_gamma():
     assert np.allclose(log_gamma(x), [math.lgamma(y) for y in x], rtol=1e-9, atol=1e-9)
 
 
-def test_mixing(spark, docs, none, texts):
-    from treeql.llm.mixing import mix, schedule, targets
-
-    goal = targets([("b", 100), ("a", 10), (None, 50), ("c", 0)])
-    assert [(s.source, s.target) for s in goal][0] == ("a", 30.0) and goal[2].target == 0 and goal[3].source is None and abs(sum(s.target for s in goal) - 160) < 1e-9
-    assert all(s.target <= 3 * s.size for s in goal)
-    big = spark.createDataFrame([(i, text_of(random.Random(i), 5 + i % 50), "hot" if i % 3 else f"s{i % 4}") for i in range(4000)], "doc_id long, text string, source string")
-    got = mix(big, keep=["doc_id", "source"]).collect()
-    sums = collections.defaultdict(lambda: [0, 0, 0.0])
-    for r in got:
-        x = sums[r["source"]]
-        x[0], x[1], x[2] = x[0] + r["size"], x[1] + r["taken"], r["target"]
-        assert 0 <= r["taken"] <= 3 * r["size"]
-    assert all(abs(taken / target - 1) < 0.02 for _, taken, target in sums.values())
-    assert sorted(map(tuple, mix(big.repartition(7), keep=["doc_id", "source"]).collect())) == sorted(map(tuple, got))
-    slots = schedule(spark, targets([("a", 5000), ("b", 9000)])).collect()
-    ranks = collections.defaultdict(list)
-    for s in sorted(slots, key=lambda s: s["slot"]):
-        ranks[s["k"]].append(s["rank"])
-    assert all(r == list(range(len(r))) for r in ranks.values())
-    odd = mix(docs)
+def shared_out(sizes, weights=(5, 2, 1), repeats=3):
+    """Targets by definition, source -> words."""
+    ordered = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(ordered)}
+    goal, free = {}, list(ordered)
+    while True:
+        left = sum(sizes.values()) - sum(goal.values())
+        full = [x for x in free if left * weight[x] / sum(weight[y] for y in free) > repeats * sizes[x]]
+        if not full:
+            return goal | {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        goal |= {x: repeats * sizes[x] for x in full}
+        free = [x for x in free if x not in full]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mixing(spark, docs, none, texts, small, monkeypatch):
+    from treeql.llm import mixing as M
+
+    if small:
+        for k, v in (("BLOCK", 7), ("LEAST", 3), ("RANKED", 64), ("SUMMED", 50), ("SMALL", 1)):
+            monkeypatch.setattr(M, k, v)
+    rows = [(i, text_of(random.Random(i), 5 + i % 50), None if i % 41 == 0 else "hot" if i % 3 else f"s{i % 4}") for i in range(1200)]
+    rows += [(5000, "tiny text", "rare"), (5001, None, "none"), (7, rows[7][1], rows[7][2]), (None, "a b c", "hot"), (5002, " ".join(f"w{i}" for i in range(9000)), "s0")]
+    big = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(big, keep=["doc_id", "source"]).collect()
+    assert sorted(map(tuple, M.mix(big.repartition(7), keep=["doc_id", "source"]).collect()), key=str) == sorted(map(tuple, got), key=str)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    goal = shared_out(sizes)
+    # Blocks, slots and what they take, by definition; only the shuffled order comes from Spark's hash.
+    order = F.struct(F.pmod(F.xxhash64("h", "crc"), F.lit(-(-len(rows) // M.SUMMED))).alias("part"), "h", F.col("doc_id").cast("string").alias("key"))
+    hashed = big.withColumns({"h": F.xxhash64(F.col("doc_id").cast("string")), "crc": F.crc32(F.col("text").cast("binary"))}).select("doc_id", "text", "source", order.alias("o")).collect()
+    slots, blocks, start, at = {}, {}, {}, 0
+    for s in sorted(sizes, key=lambda x: (x is None, x or "")):
+        blocks[s] = max(-(-sizes[s] // M.BLOCK), min(sizes[s], M.LEAST))
+        slots[s] = min(3 * blocks[s], math.floor(blocks[s] * goal[s] / sizes[s] + 0.5)) if sizes[s] else 0
+        start[s], at = at, at + slots[s]
+    bits = (at - 1).bit_length()
+    times = {s: collections.Counter(r % blocks[s] for r, _ in enumerate(sorted(int(f"{p:0{bits}b}"[::-1], 2) for p in range(start[s], start[s] + slots[s])))) for s in sizes}
+    want = []
+    for s in sizes:
+        own = sorted((r for r in hashed if r["source"] == s), key=lambda r: (r["o"]["part"], r["o"]["h"], r["o"]["key"] or ""))
+        base, rem = divmod(sizes[s], blocks[s]) if sizes[s] else (0, 0)
+        of_word = [b for b in range(blocks[s]) for _ in range(base + (b < rem))]
+        place = 0
+        for r in own:
+            n = len((r["text"] or "").split())
+            want.append((-1 if r["doc_id"] is None else r["doc_id"], s, n, sizes[s], round(goal[s], 6), sum(times[s][of_word[w]] for w in range(place, place + n)), times[s][of_word[place + n // 2]] if n else 0))
+            place += n
+    assert sorted(want, key=str) == sorted(((-1 if r[0] is None else r[0], *r[1:4], round(r["target"], 6), *r[5:]) for r in got), key=str)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and max(r["taken"] for r in got if r["size"]) > 0
+    for s in ("hot", "s0", None):
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) / goal[s] - 1) < 0.02
+    odd = M.mix(docs)
     assert odd.count() == len(texts) and "key" in odd.columns and {r["taken"] for r in odd.filter("size = 0").collect()} == {0}
-    assert mix(none).count() == 0
+    assert M.mix(none).count() == 0
+
+
+def test_mixing_of_many_words(spark, monkeypatch):
+    from treeql.llm import mixing as M
+
+    monkeypatch.setattr(M, "BLOCKS", 1 << 12)
+    sizes = {"a": 10**12, "b": 3 * 10**12, "c": 5, None: 10**9}
+    sources, n = M.plan_sources(spark.createDataFrame(list(sizes.items()), "src string, size long"))
+    goal = shared_out(sizes)
+    assert {r["src"]: round(r["target"]) for r in sources.collect()} == {s: round(g) for s, g in goal.items()}
+    got = M.schedule(sources, n).collect()
+    assert len(got) == n < 1 << 14 and len({r["slot"] for r in got}) == n
+    # Every run of the mix is near the targets.
+    ordered = [r["k"] for r in sorted(got, key=lambda r: r["slot"])]
+    for a in range(0, n - 400, 400):
+        assert abs(ordered[a : a + 400].count(0) - ordered.count(0) / n * 400) < 12
+    # Thousands of sources.
+    many = [(f"s{i:05}", 1 + i % 90) for i in range(3000)]
+    sources, n = M.plan_sources(spark.createDataFrame(many, "src string, size long"))
+    goal = shared_out(dict(many))
+    assert all(abs(r["target"] - goal[r["src"]]) < 1e-6 for r in sources.collect()) and [r["k"] for r in sorted(sources.collect(), key=lambda r: r["src"])] == list(range(3000))
 
 
 def test_pipeline(spark, docs, none, tmp_path):
