@@ -400,6 +400,9 @@ def test_neighbours(spark):
         if q == 350:
             assert [r["vec_id"] for r in found] == order
     assert hits / total >= 0.9
+    # Tiny and huge norms are directions like others.
+    wide = spark.createDataFrame([(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [2.0, 1.0]), (3, [5e-324, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 12)) for r in neighbours(wide, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1.0), (0, 2, 0.8), (0, 3, round(1 / math.sqrt(5), 12))]
     assert neighbours(df.limit(0), F.lit(True)).count() == 0 and neighbours(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
@@ -419,6 +422,21 @@ def test_neighbours_visit_more_where_needed(spark):
     assert hits >= 0.95 * 500 and {r["query_id"] for r in got} == set(range(0, 6000, 60))
 
 
+def test_nearest_of():
+    from treeql.llm.ann_forest import nearest_of
+
+    rng = np.random.default_rng(3)
+    w = np.concatenate([rng.normal(size=(50, 4)), np.ones((9, 4))])
+    ids = rng.permutation(59)
+    v, own = w[[3, 50, 55]], ids[[3, 50, 55]]
+    for n in (1, 5, 58, 80):
+        row, col, score = nearest_of(v, own, w, ids, n)
+        for q in range(3):
+            exact = np.array([v[q] @ x / math.sqrt(v[q] @ v[q]) / math.sqrt(x @ x) for x in w])
+            order = [i for i in np.lexsort((ids, -np.round(exact, 12))) if ids[i] != own[q]][:n]
+            assert col[row == q].tolist() == order and np.allclose(score[row == q], exact[order])
+
+
 def test_warc(spark, tmp_path):
     from treeql.llm.warc_archive import archive_and_read, export, read_archive, write_archive
 

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 The trees' splits are learned from a bounded sample; every row is then filed in a leaf of every tree. A query
-walks all trees through one priority queue, ordered by the least margin to a split on the way, until the leaves
+walks all trees through one priority queue, ordered by the squared margins to the splits crossed on the way, until the leaves
 met hold enough rows; the rows of these leaves are ranked by their exact cosine. How many are enough is measured on
 the table: some queries are compared with every row, and the walks go as far as finds the wanted share of their neighbours.
 """
@@ -23,6 +23,8 @@ from treeql.llm._common import materialise
 
 #: Rows that the splits are learned from at most (all are filed), trees, wanted rows of a leaf, rows and queries of a block.
 SAMPLE, TREES, LEAF, MEMBERS, QUERIES = 20_000, 12, 128, 4096, 1024
+#: Pairs scored one by one together.
+PAIRS = 100_000
 #: Rows that the leaves a query visits hold together at least, counted anew in every tree.
 VISITED = 32_000
 #: Share of the true neighbours that the walks are to find, and queries at most that it is measured on.
@@ -41,7 +43,7 @@ class Tree:
 def grow(sample: np.ndarray, leaf: float, seed: int) -> Tree:
     """Split at the hyperplane through the origin midway between two random members, to leaves of `leaf` rows.
 
-    sample: unit vectors, mean direction removed. Halves that come out worse than 1 to 19 are split at random.
+    sample: unit vectors. Halves that come out worse than 1 to 19 are split at random.
     """
     rng = np.random.default_rng(seed)
     normals, children, shares = [], [], []
@@ -83,7 +85,7 @@ def leaves(tree: Tree, vectors: np.ndarray) -> np.ndarray:
 def visits(trees: list[Tree], vector: np.ndarray) -> Iterator[tuple[int, int]]:
     """(tree, leaf) in the order of a queue shared by all trees, to the last leaf."""
     margins = [t.normals @ vector for t in trees]
-    queue = [(-np.inf, k, 0 if len(t.normals) else -1) for k, t in enumerate(trees)]
+    queue = [(0.0, k, 0 if len(t.normals) else -1) for k, t in enumerate(trees)]
     heapq.heapify(queue)
     while queue:
         cost, k, at = heapq.heappop(queue)
@@ -91,7 +93,7 @@ def visits(trees: list[Tree], vector: np.ndarray) -> Iterator[tuple[int, int]]:
             m = margins[k][at]
             below, above = trees[k].children[at]
             near, far = (above, below) if m > 0 else (below, above)
-            heapq.heappush(queue, (max(cost, abs(m)), k, far))
+            heapq.heappush(queue, (cost + m * m, k, far))
             at = near
         yield k, -1 - at
 
@@ -120,11 +122,37 @@ def needed(trees: list[Tree], vector: np.ndarray, wanted: np.ndarray) -> np.ndar
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(np.float64)
+    """Vectors as rows, each divided by a power of two near its largest component: directions are kept exactly, and no norm overflows or vanishes."""
+    v = np.stack(values.to_numpy()).astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
+
+
+def _norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", v, v))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    return v / _norms(v)[:, None]
+
+
+def nearest_of(v: np.ndarray, own: np.ndarray, w: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of v the n nearest rows of w whose id is not its own: (row, index in w, cosine), best first, ties to the smaller id.
+
+    One matrix product leaves the n best and what is as near but for rounding; only these are scored pair by pair.
+    """
+    nv, nw = _norms(v), _norms(w)
+    rough = (v / nv[:, None]) @ (w / nw[:, None]).T
+    rough[own[:, None] == ids[None, :]] = -np.inf
+    bar = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n] if rough.shape[1] > n else np.full(len(v), -2.0)
+    row, col = np.nonzero(rough >= np.maximum(bar, -2.0)[:, None] - 1e-9)
+    score = np.empty(len(row))
+    for a in range(0, len(row), PAIRS):
+        i, j = row[a : a + PAIRS], col[a : a + PAIRS]
+        score[a : a + PAIRS] = np.einsum("ij,ij->i", v[i], w[j]) / (nv[i] * nw[j])
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], col[place < n], score[place < n]
 
 
 def top(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
@@ -198,7 +226,7 @@ def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", ve
     used = min(1.0, SAMPLE / total)
     picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(used * (1 << 20)) + 1).select("id", "v").orderBy("id", "v").limit(2 * SAMPLE).toPandas()
     sample = _matrix(picked["v"]) if len(picked) else np.zeros((0, width))
-    sample /= np.sqrt(np.einsum("ij,ij->i", sample, sample))[:, None]
+    sample = _unit(sample)
     # Leaves of about LEAF rows of the whole table, as far as the sample can tell them apart.
     leaf = max(4.0, LEAF * len(sample) / total)
     forest = [grow(sample, leaf, seed) for seed in range(trees)]
@@ -237,19 +265,11 @@ def neighbours(df: DataFrame, query: Column, k: int = 5, key: str = "vec_id", ve
     queries = asked.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "id", "v", F.explode(every("mb")).alias("m"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("q"))
 
     def rank(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(asking) and len(held):
-            v, w, ids = _matrix(asking["v"]), _matrix(held["v"]), held["id"].to_numpy()
-            nv, nw = np.sqrt(np.einsum("ij,ij->i", v, v)), np.sqrt(np.einsum("ij,ij->i", w, w))
-            for own, vector_, norm in zip(asking["id"].tolist(), v, nv, strict=True):
-                scores = np.einsum("j,kj->k", vector_, w) / (norm * nw)
-                scores[ids == own] = -np.inf
-                at = top(ids, scores, k)
-                at = at[scores[at] > -np.inf]
-                out.append((np.full(len(at), own), ids[at], scores[at]))
-        if not out:
+        if not len(asking) or not len(held):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+        ids, own = held["id"].to_numpy(), asking["id"].to_numpy()
+        row, col, score = nearest_of(_matrix(asking["v"]), own, _matrix(held["v"]), ids, k)
+        return pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": score})
 
     keys = ["tree", "leaf", "m", "q"]
     near = queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(rank, schema)
