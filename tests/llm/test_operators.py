@@ -348,10 +348,48 @@ def test_jaccard_join(docs, none, texts):
         assert wide(J.jaccard_join(docs).collect()) == want
     finally:
         J.BLOCK = block
-    kept = J.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == len(classes)
+    clash = docs.withColumnsRenamed({"lang": "__key", "source": "__md5", "key": "__MD5_"})
+    kept = J.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns and kept.count() == len(classes)
+    least = docs.sparkSession.createDataFrame([(-(1 << 63), "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k l")], "doc_id long, text string")
+    assert J.drop_near_duplicates(least).orderBy("text").collect() == [(-(1 << 63), "a b c d e f"), (None, "g h i j k l")]
     assert J.jaccard_join(none).count() == 0 and J.drop_near_duplicates(none).count() == 0
-    assert J.prefix_length(0.8) == 4 and 1 - (1 - 0.8**4) ** J.TREES >= J.RECALL
+
+
+def test_forest_is_shortened_per_text(spark):
+    from treeql.llm import ngram_join as J
+
+    assert J.shortest(0.8, 20, 6, 0.9999) == 4 and J.shortest(0.95, 20, 6, 0.9999) == 6 and abs(J.missed(0.8, 4, 20) - (1 - 0.8**4) ** 20) < 1e-8
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 400, 2):
+        # Pairs at and just above the threshold: 5-word windows around a few changed words.
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((i, " ".join(words)))
+        for p in rng.sample(range(10, 190, 6), 4):
+            words[p] = f"y{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text_rows = df.select(F.col("doc_id").alias("key"), "text", F.md5("text").alias("md5"))
+    signed, sizes = J.signatures([t for _, t in rows], 5)
+    texts = spark.createDataFrame([(hashlib.md5(t.encode()).hexdigest(), i, 1, x.tolist(), int(n), i) for (i, t), x, n in zip(rows, signed, sizes, strict=True)], "md5 string, key long, copies long, sig array<int>, shingles long, node long")
+    got = {r["node"]: r for r in J._matched(text_rows, texts, 5, 0.8)[0].groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum(F.col("missed")[5]).alias("far"), F.sum(F.col("missed")[3]).alias("near")).collect()}
+    sets = shingle_sets(rows)
+    links = collections.Counter()
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            links[rows[a][0]] += 1
+            links[rows[b][0]] += 1
+    assert {k: r["pairs"] for k, r in got.items()} == dict(links) and sum(links[i] for i in range(60, 400)) > 200
+    # Members of the large group are settled at the whole signature, pairs near the threshold are not.
+    settled = lambda r: r["far"] + J.missed(0.8, 6, 20) <= 1e-4 * (r["pairs"] + r["far"] + 1)
+    assert all(settled(got[i]) for i in range(60)) and not any(settled(got[i]) for i in got if i >= 60)
 
 
 def test_components(spark):
