@@ -8,6 +8,7 @@ once for each segment; the documents themselves travel once, for both sides of t
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,48 @@ class WordHashes(dict):
 WORD_HASHES = WordHashes()
 
 
-def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> list[int]:
-    """Where each of `buckets` equal ranges of 64-bit hashes begins in a sorted array, and its end."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return [0, *np.searchsorted(sorted_hashes, edges).tolist(), len(sorted_hashes)]
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; by sorting, which is faster than numpy's hashing for what repeats as much."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Each key's index in a sorted table, -1 if it isn't there."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return np.where(table[at] == keys, at, -1)
+
+
+def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n (below 2^24) equal ranges of 64-bit keys each key falls in."""
+    return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
+
+
+def packets(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending keys: the ranges that are not empty, and where each begins and the last ends. No step is by range."""
+    own = buckets_of(keys, n)
+    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+    return own[cuts], np.append(cuts, len(keys))
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of an array of 8-byte values as binary cells over one buffer."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed cells, and where each cell's begin and the last ends."""
+    values, cuts, held = [np.empty(0, kind)], [np.zeros(1, np.int64)], 0
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, 4 * chunk.offset).astype(np.int64) if len(chunk) else np.zeros(1, np.int64)
+        own = np.frombuffer(chunk.buffers()[2], kind, int(ends[-1] - ends[0]) // 8, int(ends[0])) if ends[-1] > ends[0] else np.empty(0, kind)
+        values.append(own)
+        cuts.append((ends[1:] - ends[0]) // 8 + held)
+        held += len(own)
+    return np.concatenate(values), np.concatenate(cuts)
 
 
 def utf8(text: str | None) -> bytes:

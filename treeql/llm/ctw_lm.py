@@ -4,8 +4,8 @@ Each byte is eight binary decisions; a decision's context is the bytes before, u
 bits already known. Every context of every depth keeps a Krichevsky-Trofimov estimate of its decisions in the
 training texts; the tree weights a context's own estimate against those of its longer contexts by how well
 either coded the training texts, which mixes all depths. Counts of grams (DEPTH bytes and the next) hold all that
-is needed: they are summed in Spark, the tree is computed by suffix of two bytes, and only the two topmost depths (at most 257 x 255
-decisions) meet on the driver. A text's probability is the product over its bytes.
+is needed: they are summed in Spark, the tree is computed by packs of suffixes of three bytes, contexts of two bytes are summed over
+packs, and only the two topmost depths (at most 257 x 255 decisions) meet on the driver. A text's probability is the product over its bytes.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeql.llm._common import materialise, runs, text_bytes
-from treeql.llm._segments import WORD_HASHES, segmented, utf8
+from treeql.llm._segments import WORD_HASHES, distinct, find, packed, packets, segmented, unpacked, utf8
 
 #: Bytes of context; bytes of text in a segment and in a block; keys looked up by one task.
 DEPTH, SEGMENT, BLOCK, ASKED = 5, 4 << 20, 1 << 20, 1 << 20
+#: Last bytes of a context by which grams are dealt, and grams of a pack.
+TOP, PACKED = 3, 100_000
 #: Of each kind, so many most frequent keys are broadcast (16 bytes each); only others are asked for.
 HEAD = 1 << 17
 #: What ends every text: a token of its own and the last byte. Texts also begin behind DEPTH of them.
@@ -58,12 +61,6 @@ def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.cumsum(sizes) - sizes
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys; by sorting, which is faster than numpy's hashing for what repeats as much."""
-    keys = np.sort(keys)
-    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-
-
 class Tally:
     """Keys with counts, added up when more than `most` have gathered."""
 
@@ -144,43 +141,79 @@ class SuffixTree:
         return p.reshape(-1, 8)
 
 
+def _level(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes with counts and their children's logs: log of the weighted probability, own weight and P(1)."""
+    own = log_kt(n0, n1)
+    whole = np.logaddexp(own, below) - math.log(2)
+    return whole, 0.5 * np.exp(own - whole), (n1 + 0.5) / (n0 + n1 + 1)
+
+
 def _top_of_tree(sums: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """From counts and children's logs by (last byte, decision): own weight and P(1) at depths 1 and 0."""
     n0, n1, below = np.zeros((3, 256, 256))
     at = sums["byte"].to_numpy(), sums["node"].to_numpy()
     n0[at], n1[at], below[at] = sums["n0"], sums["n1"], sums["whole"]
-    own = log_kt(n0, n1)
-    whole = np.logaddexp(own, below) - math.log(2)
-    r0, r1 = n0.sum(axis=0), n1.sum(axis=0)
-    own0 = log_kt(r0, r1)
-    whole0 = np.logaddexp(own0, whole.sum(axis=0)) - math.log(2)
-    return 0.5 * np.exp(own - whole), (n1 + 0.5) / (n0 + n1 + 1), 0.5 * np.exp(own0 - whole0), (r1 + 0.5) / (r0 + r1 + 1)
+    whole, w1, p1 = _level(n0, n1, below)
+    _, w0, p0 = _level(n0.sum(axis=0), n1.sum(axis=0), whole.sum(axis=0))
+    return w1, p1, w0, p0
 
 
 def gram_logs(counted: DataFrame) -> DataFrame:
-    """(gram, its spread key, log10 of the probability of its last byte, n) for every row (gram, n) of counts; n may be 0."""
+    """(gram, its spread key, log10 of the probability of its last byte, n) for every row (gram, n) of counts; n may be 0.
+
+    Grams are dealt by the last TOP bytes of their context, many such suffixes to a pack: a pack computes all deeper
+    contexts. Contexts of TOP - 1 = 2 bytes are sums over packs, made in Spark; those of one byte and none, on the driver.
+    """
     spark = counted.sparkSession
-    dealt = counted.withColumn("suffix", F.shiftright("gram", 8).bitwiseAND((1 << 16) - 1).cast("int"))
+    packs = max(8, -(-counted.count() // PACKED))
+    dealt = counted.withColumn("pack", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND((1 << 8 * TOP) - 1)), F.lit(packs)))
 
     def weigh(part: pd.DataFrame) -> pd.DataFrame:
-        tree = SuffixTree(part["gram"].to_numpy(), part["n"].to_numpy(), 2)
-        n0, n1 = tree.counts[2]
-        return pd.DataFrame({"byte": (tree.keys >> 8 & 0xFF).astype(np.int32), "node": (tree.keys & 0xFF).astype(np.int32), "n0": n0, "n1": n1, "whole": tree.whole[2]})
-
-    weighed = dealt.groupBy("suffix").applyInPandas(weigh, "byte int, node int, n0 double, n1 double, whole double")
-    sums = weighed.groupBy("byte", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("whole").alias("whole")).toPandas()
+        tree = SuffixTree(part["gram"].to_numpy(), part["n"].to_numpy(), TOP)
+        n0, n1 = tree.counts[TOP]
+        # Nodes of one pack and of one context of two bytes are added up before they travel.
+        at, keys = pd.factorize(tree.keys & 0xFFFFFF)
+        added = [np.bincount(at, x, len(keys)) for x in (n0, n1, tree.whole[TOP])]
+        return pd.DataFrame({"pack": np.full(len(keys), part["pack"].iloc[0]), "key": keys, "n0": added[0], "n1": added[1], "whole": added[2]})
+
+    def levelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            whole, w, p = _level(b["n0"].to_numpy(), b["n1"].to_numpy(), b["whole"].to_numpy())
+            yield b.assign(whole=whole, w=w, p=p)
+
+    weighed = materialise(dealt.groupBy("pack").applyInPandas(weigh, "pack long, key long, n0 double, n1 double, whole double"), "suffixes")
+    second = weighed.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("whole").alias("whole")).mapInPandas(levelled, "key long, n0 double, n1 double, whole double, w double, p double")
+    second = materialise(second, "suffixes")
+    sums = second.groupBy(F.shiftright("key", 8).bitwiseAND(0xFF).cast("int").alias("byte"), F.col("key").bitwiseAND(0xFF).cast("int").alias("node"))
+    sums = sums.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("whole").alias("whole")).toPandas()
     sent = spark.sparkContext.broadcast(_top_of_tree(sums))
+    above = weighed.select("pack", "key").join(second.select("key", "w", "p"), "key")
 
-    def mix(part: pd.DataFrame) -> pd.DataFrame:
+    def mix(part: pd.DataFrame, second_of: pd.DataFrame) -> pd.DataFrame:
         w1, p1, w0, p0 = sent.value
-        tree = SuffixTree(part["gram"].to_numpy(), part["n"].to_numpy(), 2)
+        tree = SuffixTree(part["gram"].to_numpy(), part["n"].to_numpy(), TOP)
+        order = np.argsort(second_of["key"].to_numpy())
+        at = order[np.searchsorted(second_of["key"].to_numpy()[order], ((tree.codes >> 8 & 0xFFFF) << 8)[:, None] | tree.node)]
+        w2, p2 = second_of["w"].to_numpy()[at], second_of["p"].to_numpy()[at]
         byte = np.repeat(tree.codes >> 8 & 0xFF, 8).reshape(-1, 8)
         of = lambda p: np.where(tree.bit == 1, p, 1 - p)
-        p = w1[byte, tree.node] * of(p1[byte, tree.node]) + (1 - w1[byte, tree.node]) * tree.mixed()
+        p = w2 * of(p2) + (1 - w2) * tree.mixed()
+        p = w1[byte, tree.node] * of(p1[byte, tree.node]) + (1 - w1[byte, tree.node]) * p
         p = w0[tree.node] * of(p0[tree.node]) + (1 - w0[tree.node]) * p
         return pd.DataFrame({"gram": tree.codes, "spread": spread(tree.codes).view(np.int64), "log": np.log10(p).sum(axis=1), "n": part["n"]})
 
-    return dealt.groupBy("suffix").applyInPandas(mix, "gram long, spread long, log double, n long")
+    return dealt.groupBy("pack").cogroup(above.groupBy("pack")).applyInPandas(mix, "gram long, spread long, log double, n long")
+
+
+def head_of(known: DataFrame, most: int) -> pd.DataFrame:
+    """(kind, key, value) of the most frequent keys of each kind, `most` at most: those from a count on, found from a histogram of counts."""
+    scale = F.floor(F.log2(F.col("n") + 1) * 16).cast("int")
+    bars, held = {WORDS: 1 << 30, GRAMS: 1 << 30}, {WORDS: 0, GRAMS: 0}
+    for r in sorted(known.groupBy("kind", scale.alias("bar")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["bar"]):
+        held[r["kind"]] += r["rows"]
+        if held[r["kind"]] <= most:
+            bars[r["kind"]] = r["bar"]
+    return known.filter(scale >= F.when(F.col("kind") == WORDS, bars[WORDS]).otherwise(bars[GRAMS])).select("kind", "key", "value").toPandas()
 
 
 def spread(code: np.ndarray) -> np.ndarray:
@@ -200,27 +233,11 @@ class _Held:
         self.keys = {WORDS: tokens, GRAMS: code}
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Each key's index in a sorted table, -1 if it isn't there."""
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1) if len(table) else np.full(len(keys), -1)
-
-
-def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-
-
-def _each_key(part: pd.DataFrame, column: str, buckets: int, head: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(kind, bucket, keys): the distinct keys that are not of the head, in ascending order, cut by bucket."""
-    held = _Held(part[column].tolist())
-    for kind in (WORDS, GRAMS):
-        keys = distinct(held.keys[kind] if kind == WORDS else spread(held.keys[kind]))
-        keys = keys[_find(head[kind][0], keys) < 0]
-        cuts = np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1))
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                yield kind, b, keys[cuts[b] : cuts[b + 1]]
+def _asked(texts: list[str | None], kind: int, head: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The distinct keys of a kind that are not of the head, in ascending order."""
+    held = _Held(texts)
+    keys = distinct(held.keys[kind] if kind == WORDS else spread(held.keys[kind]))
+    return keys[find(head[kind][0], keys) < 0]
 
 
 def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -264,36 +281,37 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
     known = counts.filter(F.col("kind") == WORDS).select("kind", "key", F.col("n").cast("double").alias("value"), "n").unionByName(logs.select(F.lit(GRAMS).alias("kind"), F.col("spread").alias("key"), F.col("log").alias("value"), "n"))
     buckets = max(8, -(-total // (12 * ASKED)))
     known = materialise(known, "model").withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 40) * buckets, 24).cast("int"))
-    head = {}
+    frequent, head = head_of(known, HEAD), {}
     for kind in (WORDS, GRAMS):
-        own = known.filter(F.col("kind") == kind).orderBy(F.desc("n"), "key").select("key", "value").limit(HEAD).toPandas()
+        own = frequent[frequent["kind"] == kind]
         keys = own["key"].to_numpy(np.int64).view(np.uint64)
-        head[kind] = keys[np.argsort(keys)], own["value"].to_numpy()[np.argsort(keys)]
+        head[kind] = keys[np.argsort(keys)], own["value"].to_numpy(np.float64)[np.argsort(keys)]
     sent = spark.sparkContext.broadcast(head)
     known = known.drop("n")
     docs, _ = segmented(df, text, key, total, SEGMENT)
     wanted = "kind int, bucket int, seg int, keys binary"
 
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
-        found = list(_each_key(part, "text", buckets, sent.value))
-        kind, bucket, keys = zip(*found, strict=True) if found else ((), (), ())
-        return pd.DataFrame({"kind": kind, "bucket": bucket, "seg": [part["seg"].iloc[0]] * len(keys), "keys": [k.tobytes() for k in keys]})
-
-    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        tables = {}
+    def ask(part: pa.Table) -> pa.Table:
+        texts, out = part["text"].to_pylist(), []
         for kind in (WORDS, GRAMS):
-            own = held["kind"].to_numpy() == kind
-            keys = held["key"].to_numpy()[own].view(np.uint64)
-            order = np.argsort(keys)
-            # A last entry that nobody asks for: what is not found has value 0.
-            tables[kind] = np.append(keys[order], np.uint64(0)), np.append(held["value"].to_numpy()[own][order], 0.0)
-        out = []
-        for kind, blob in zip(asked["kind"], asked["keys"], strict=True):
-            keys, values = tables[kind]
-            want = np.frombuffer(blob, np.uint64)
-            at = np.searchsorted(keys[:-1], want)
-            out.append(np.where(keys[at] == want, values[at], 0.0).tobytes())
-        return pd.DataFrame({"kind": asked["kind"], "bucket": asked["bucket"], "seg": asked["seg"], "found": out})
+            keys = _asked(texts, kind, sent.value)
+            bucket, cuts = packets(keys, buckets)
+            out.append(pa.table({"kind": np.full(len(bucket), kind, np.int32), "bucket": bucket, "seg": np.full(len(bucket), part["seg"][0].as_py(), np.int32), "keys": packed(keys, cuts)}))
+        return pa.concat_tables(out)
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        kinds, found = asked["kind"].to_numpy(), []
+        held_kinds, held_keys, held_values = held["kind"].to_numpy(), held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()
+        for kind in (WORDS, GRAMS):
+            own = asked.filter(pa.array(kinds == kind))
+            want, cuts = unpacked(own["keys"], np.uint64)
+            mine = held_kinds == kind
+            order = np.argsort(held_keys[mine])
+            at = find(held_keys[mine][order], want)
+            # What is not found has value 0.
+            values = np.append(held_values[mine][order], 0.0)[at]
+            found.append(pa.table({"kind": own["kind"].to_numpy(), "bucket": own["bucket"].to_numpy(), "seg": own["seg"].to_numpy(), "found": packed(values, cuts)}))
+        return pa.concat_tables(found)
 
     def score(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
@@ -306,7 +324,7 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
             codes, keys = pd.factorize(every)
             order = np.argsort(keys)
             table, values = sent.value[kind]
-            at = _find(table, keys[order])
+            at = find(table, keys[order])
             # The keys asked for, in order, take the answers, in order.
             value = np.empty(len(keys))
             value[at >= 0] = values[at[at >= 0]]
@@ -325,7 +343,7 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", key: str = "do
             "n_bytes": np.diff(np.append(held.firsts, len(log))),
         })
 
-    asked = docs.groupBy("seg").applyInPandas(ask, wanted)
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(answer, "kind int, bucket int, seg int, found binary")
+    asked = docs.groupBy("seg").applyInArrow(ask, wanted)
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "kind int, bucket int, seg int, found binary")
     scored = docs.groupBy("seg").cogroup(answers.groupBy("seg")).applyInPandas(score, "key string, n_tokens long, n_known long, base double, score double, n_bytes long")
     return scored.select("key", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("code_bits"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeql.llm._common import text_bytes
-from treeql.llm._segments import WORD_HASHES, bucket_cuts, segmented, utf8
+from treeql.llm._segments import WORD_HASHES, distinct, find, packed, packets, segmented, unpacked, utf8
 
 #: Base of the polynomial (odd, so that it has an inverse modulo 2^64), and windows counted by one task.
 BASE, COUNTED = 0x9E3779B97F4A7C15, 1 << 20
@@ -61,25 +62,21 @@ def repeated_spans(df: DataFrame, width: int = 35, text: str = "text", key: str
     docs, _ = segmented(df, text, key, total)
     buckets = max(8, -(-total // (6 * COUNTED)))
 
-    def send(part: pd.DataFrame) -> pd.DataFrame:
-        hashes, n = np.unique(_Words(part["text"].tolist(), width).hashes, return_counts=True)
-        cuts = bucket_cuts(hashes, buckets)
-        full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pd.DataFrame({
-            "bucket": np.array(full, np.int32),
-            "seg": np.full(len(full), part["seg"].iloc[0], np.int32),
-            "hashes": [hashes[cuts[b] : cuts[b + 1]].tobytes() for b in full],
-            "twice": [np.packbits(n[cuts[b] : cuts[b + 1]] > 1).tobytes() for b in full],
-        })
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        sent = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
-        twice = [h[np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)).astype(bool)] for h, t in zip(sent, part["twice"], strict=True)]
-        every = np.sort(np.concatenate(sent))
-        again = np.union1d(every[1:][every[1:] == every[:-1]], np.concatenate(twice))
-        hit = [h[np.isin(h, again, assume_unique=True)] for h in sent]
-        some = [i for i, h in enumerate(hit) if len(h)]
-        return pd.DataFrame({"seg": part["seg"].to_numpy()[some].astype(np.int32), "again": [hit[i].tobytes() for i in some]})
+    def send(part: pa.Table) -> pa.Table:
+        hashes, n = np.unique(_Words(part["text"].to_pylist(), width).hashes, return_counts=True)
+        # What occurs again here already is sent twice, so that it counts as repeated wherever it is met.
+        hashes = np.repeat(hashes, np.minimum(n, 2))
+        bucket, cuts = packets(hashes, buckets)
+        return pa.table({"bucket": bucket, "seg": np.full(len(bucket), part["seg"][0].as_py(), np.int32), "hashes": packed(hashes, cuts)})
+
+    def count(part: pa.Table) -> pa.Table:
+        sent, cuts = unpacked(part["hashes"], np.uint64)
+        every = np.sort(sent)
+        again = distinct(every[1:][every[1:] == every[:-1]])
+        hit = find(again, sent) >= 0
+        held = np.concatenate([[0], np.cumsum(hit)])[cuts]
+        some = np.flatnonzero(np.diff(held))
+        return pa.table({"seg": part["seg"].to_numpy().astype(np.int32)[some], "again": packed(sent[hit], np.append(held[some], held[-1]))})
 
     def remove(docs_of: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs_of):
@@ -103,8 +100,8 @@ def repeated_spans(df: DataFrame, width: int = 35, text: str = "text", key: str
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return pd.DataFrame({"key": docs_of["key"], "n_words": own.lengths, "spans": spans, "kept": kept})
 
-    sent = docs.groupBy("seg").applyInPandas(send, "bucket int, seg int, hashes binary, twice binary")
-    answers = sent.groupBy("bucket").applyInPandas(count, "seg int, again binary")
+    sent = docs.groupBy("seg").applyInArrow(send, "bucket int, seg int, hashes binary")
+    answers = sent.groupBy("bucket").applyInArrow(count, "seg int, again binary")
     return docs.groupBy("seg").cogroup(answers.groupBy("seg")).applyInPandas(remove, "key string, n_words long, spans array<struct<start:int,end:int>>, kept string")
 
 
