@@ -274,20 +274,40 @@ def test_decontamination(spark, docs, none, texts):
     assert D.decontaminate(none, benchmark).count() == 0
     empty = spark.createDataFrame([], benchmark.schema)
     assert not any(r["contaminated"] for r in D.digest(D.decontaminate(docs, empty)).collect())
-    # In blocks of items the result is the same.
-    kept, D.QUERY_BLOCK = D.QUERY_BLOCK, 40
+    # In small segments the result is the same.
+    kept, D.SEGMENT = D.SEGMENT, 700
     try:
-        again = D.digest(D.decontaminate(docs, benchmark)).collect()
+        again = D.digest(D.decontaminate(docs.repartition(1), benchmark)).collect()
     finally:
-        D.QUERY_BLOCK = kept
+        D.SEGMENT = kept
     assert sorted(again, key=str) == sorted(found, key=str)
 
 
-def test_proximity():
-    from treeql.llm.decontamination import phrase_starts
+def test_proximity(spark):
+    from treeql.llm import decontamination as D
 
-    at = {b"a": np.array([0, 10, 20]), b"b": np.array([1, 12, 40])}
-    assert phrase_starts((b"a", b"b"), at).tolist() == [0] and phrase_starts((b"a", b"b"), at, slop=1).tolist() == [0, 10] and len(phrase_starts((b"a", b"q"), at)) == 0
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(9)))) for i in range(80)] + [(80, "b a"), (81, "x b a y"), (82, None)]
+    items = [(1, "a b"), (2, "c c d"), (3, "g z"), (4, "e"), (5, "f a x")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    total = collections.Counter(w for _, t in rows for w in (t or "").split())
+    for slop in (0, 1, 2):
+        want = []
+        for i, t in rows:
+            words, hit, names = (t or "").split(), set(), []
+            for name, phrase in items:
+                parts = phrase.split()
+                anchor = parts.index(min(parts, key=lambda w: (total[w], w)))
+                for at, w in enumerate(words):
+                    places = [min((abs(q - (at + k - anchor)), q) for q, v in enumerate(words) if v == p) if p in words else (99, 0) for k, p in enumerate(parts)]
+                    places[anchor] = (0, at)
+                    if w == parts[anchor] and all(d <= slop for d, _ in places):
+                        names.append(str(name))
+                        hit |= set(range(min(q for _, q in places), max(q for _, q in places) + 1))
+            want.append((str(i), len(words), sorted(hit), sorted(set(names))))
+        got = [(r["doc_id"], r["n_words"], [x for s in r["spans"] for x in range(s["start"], s["end"])], r["items"]) for r in D.decontaminate(docs, benchmark, slop=slop).collect()]
+        assert sorted(got) == sorted(want)
+    assert {r[0]: r[3] for r in want}["80"] == ["1"]
 
 
 def test_kd_sharding(spark, docs, none, texts):

@@ -1,10 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The corpus is cut into segments of bounded text; each segment stores, for every term in it, the ascending
-positions at which it occurs, and a directory of its documents. A query phrase is matched in each segment by
-intersecting its terms' position lists, each shifted by the term's offset, from the rarest term on. A document
-lies in one segment only, so every answer about it is made there; nothing of corpus size reaches the driver
-and no segment depends on another.
+positions at which it occurs, and a directory of its documents. Query phrases are a table too: each is joined to the
+index by its rarest term in the whole corpus, so a segment only sees phrases that can occur in it, and of its
+postings only those of their terms. There the terms' position lists, each shifted by the term's offset, are
+intersected from the rarest term on. A document lies in one segment only, so every answer about it is made there;
+nothing of the corpus or the benchmark reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,21 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeql.llm._arrow import release, text_runs
 from treeql.llm._common import materialise
 
-#: Characters of text in a segment (one document may exceed it), and of benchmark text searched at once.
-SEGMENT, QUERY_BLOCK = 8 << 20, 1 << 20
+#: Characters of text in a segment (one document may exceed it); windows of the benchmark in a batch.
+SEGMENT, WINDOWS = 8 << 20, 20_000
 
 #: Lower-cases A-Z and turns every other byte below 0x80 but digits and letters into a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 #: The document key is held as text, so that pandas never turns it into a float.
 SPANS = "array<struct<start:int,end:int>>"
-INDEX = "segment long, term binary, postings binary, doc_id string, starts binary"
+INDEX = "segment long, term string, n long, postings binary, doc_id string, starts binary"
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -62,16 +63,17 @@ class _Segment:
         postings = pa.Array.from_buffers(pa.binary(), n + m, [pa.py_buffer(some), pa.py_buffer(offsets), pa.py_buffer(data)], null_count=m)
         columns = [
             pa.array(np.full(n + m, segment, np.int64)),
-            pa.array([*self.number, *[None] * m], pa.binary()),
+            pa.array([*(t.decode("utf-8", "replace") for t in self.number), *[None] * m], pa.string()),
+            pa.array(np.append(np.diff(cuts), np.zeros(m, np.int64))),
             postings,
             pa.array([*[None] * n, *self.keys], pa.string()),
             pa.array([*[None] * n, *(row.tobytes() for row in bounds)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["segment", "term", "postings", "doc_id", "starts"])
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "term", "n", "postings", "doc_id", "starts"])
 
 
 def build_index(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The stored index: rows with a term have its postings in the segment (uint32, ascending); rows without
+    """The stored index: rows with a term have its postings in the segment (uint32, ascending) and their number n; rows without
     one are the directory: a document's key and its first and last position.
 
     Written once to the shared folder, so segments stay the same whatever executors are lost later.
@@ -105,70 +107,100 @@ def windows(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     return list(dict.fromkeys(zip(*(words[i:] for i in range(width)), strict=False)))
 
 
-def phrase_starts(phrase: tuple[bytes, ...], postings: dict[bytes, np.ndarray], slop: int = 0) -> np.ndarray:
-    """Positions at which the phrase begins: offset-adjusted lists intersect from the rarest term on.
+def phrases_of(benchmark: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """(phrase, item): every window of every item, each pair once; a phrase is its words joined by one space."""
 
-    With slop, each term may stand up to so many places before or after its own, the rarest term in it.
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, body in zip(batch["item"], batch["body"], strict=True):
+                found = [b" ".join(w).decode("utf-8", "replace") for w in windows(terms_of(body), width)]
+                for a in range(0, len(found), WINDOWS):
+                    yield pd.DataFrame({"phrase": found[a : a + WINDOWS], "item": item})
+
+    rows = benchmark.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").cast("string").alias("body"))
+    return rows.filter(F.col("body").isNotNull()).mapInPandas(cut, "phrase string, item string").distinct()
+
+
+def phrase_matches(words: list[str], anchor: int, postings: dict[str, np.ndarray], bounds: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first position, last position) of every match, one for each position of the anchor term at which there is one.
+
+    bounds: first position of each document and the position behind its last. Offset-adjusted lists intersect, the rarest
+    first. With slop, every other term may stand up to so many places before or after its place beside the anchor's,
+    within the anchor's document; the nearest counts, of two the earlier.
     """
-    lists = [(i, found) for i, w in enumerate(phrase) if (found := postings.get(w)) is not None]
-    if len(lists) < len(phrase):
-        return np.empty(0, np.int64)
-    lists.sort(key=lambda x: len(x[1]))
-    starts = lists[0][1] - lists[0][0]
-    for i, found in lists[1:]:
-        if not len(starts):
+    none = np.empty(0, np.int64)
+    if any(w not in postings for w in words):
+        return none, none, none
+    at = postings[words[anchor]]
+    own = np.searchsorted(bounds[:, 0], at, side="right") - 1
+    low = high = at
+    for i in sorted((i for i in range(len(words)) if i != anchor), key=lambda i: len(postings[words[i]])):
+        if not len(at):
             break
-        want = starts + i
-        at = np.minimum(np.searchsorted(found, want - slop), len(found) - 1)
-        starts = starts[np.abs(found[at] - want) <= slop]
-    return starts
+        found, (start, end) = postings[words[i]], bounds[own].T
+        want = at + (i - anchor)
+        near = np.clip(want, start, end - 1)
+        right = np.minimum(np.searchsorted(found, near), len(found) - 1)
+        left = np.maximum(np.searchsorted(found, near, side="right") - 1, 0)
+        fits = lambda x: (x >= start) & (x < end) & (np.abs(x - want) <= slop)  # noqa: E731, B023
+        a, b = found[left], found[right]
+        before = fits(a) & (~fits(b) | (np.abs(a - want) <= np.abs(b - want)))  # noqa: B023
+        place, kept = np.where(before, a, b), fits(a) | fits(b)
+        at, own, low, high = at[kept], own[kept], np.minimum(low, place)[kept], np.maximum(high, place)[kept]
+    return own, low, high
 
 
-def search(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]], slop: int = 0) -> DataFrame:
-    """Match phrases of (item, phrases) in every segment. A row for each document, matched or not: segment,
-    ordinal (in the segment), doc_id, n_words, spans (start and end, in words, of each maximal run of words
-    hit), items (those with a match).
+FOUND = f"segment long, ordinal int, doc_id string, n_words long, spans {SPANS}, items array<string>"
 
-    items come in blocks of bounded text (see decontaminate), so the terms asked for are broadcast.
+
+def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+    """Match (phrase, item) rows in the index. A row for each document, matched or not: segment, ordinal (in the segment), doc_id,
+    n_words, spans (start and end, in words, of each maximal run of words hit), items (those with a match).
     """
-    spark = index.sparkSession
-    terms = sorted({w for _, phrases in items for p in phrases for w in p})
-    sent = spark.sparkContext.broadcast(items)
-    schema = f"segment long, ordinal int, doc_id string, n_words long, spans {SPANS}, items array<string>"
+    named = index.filter(F.col("term").isNotNull())
+    single = phrases.select("phrase").distinct()
+    terms = single.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
+    counts = named.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    # Phrases of which a term occurs nowhere are left out; the others go where their rarest term is.
+    rarest = terms.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct("n", "term")).alias("r"), F.max(F.col("n").isNull()).alias("gone")).filter(~F.col("gone")).select("phrase", F.col("r.term").alias("term"))
+    sent = materialise(named.select("segment", "term").join(rarest, "term"), "phrases")
+    wanted = sent.select("segment", F.explode(F.split("phrase", " ")).alias("term")).distinct()
+    asked = sent.withColumnRenamed("term", "anchor").join(phrases, "phrase")
+    null = lambda kind: F.lit(None).cast(kind)
+    column = lambda name, kind, own: F.col(name) if name in own else null(kind).alias(name)
+    shape = [("segment", "long"), ("term", "string"), ("postings", "binary"), ("doc_id", "string"), ("starts", "binary"), ("phrase", "string"), ("anchor", "string"), ("item", "string")]
+    parts = [
+        (named.join(wanted, ["segment", "term"], "left_semi"), ("segment", "term", "postings")),
+        (index.filter(F.col("term").isNull()), ("segment", "doc_id", "starts")),
+        (asked, ("segment", "phrase", "anchor", "item")),
+    ]
+    rows = [df.select(*[column(n, k, own) for n, k in shape]) for df, own in parts]
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        named = part["term"].notna().to_numpy()
-        postings = {bytes(t): np.frombuffer(p, np.uint32).astype(np.int64) for t, p in zip(part["term"][named], part["postings"][named], strict=True)}
-        docs = part[~named]
+        of_term, of_phrase = part["term"].notna().to_numpy(), part["phrase"].notna().to_numpy()
+        postings = {t: np.frombuffer(p, np.uint32).astype(np.int64) for t, p in zip(part["term"][of_term], part["postings"][of_term], strict=True)}
+        docs = part[~of_term & ~of_phrase]
         bounds = np.frombuffer(b"".join(docs["starts"]), np.uint32).reshape(-1, 2).astype(np.int64)
         order = np.lexsort((bounds[:, 1], bounds[:, 0]))
         bounds, keys = bounds[order], docs["doc_id"].to_numpy()[order]
-        first = bounds[:, 0]
-        size = int(bounds[:, 1].max(initial=0))
-        edge = np.zeros(size + 2, np.int32)
+        # Documents without words hold no position; those with words stand in order.
+        full = np.flatnonzero(bounds[:, 1] > bounds[:, 0])
+        edge = np.zeros(int(bounds[:, 1].max(initial=0)) + 2, np.int32)
         found: dict[int, set[str]] = {}
-        for item, phrases in sent.value:
-            for p in phrases:
-                at = phrase_starts(p, postings, slop)
-                if not len(at):
-                    continue
-                at = at[at >= 0]
-                own = np.searchsorted(first, at, side="right") - 1
-                whole = (own >= 0) & (at + len(p) <= bounds[own, 1])
-                at, own = at[whole], own[whole]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + len(p), -1)
-                for k in np.unique(own).tolist():
-                    found.setdefault(k, set()).add(item)
+        for (phrase, anchor), items in part[of_phrase].groupby(["phrase", "anchor"], sort=False)["item"]:
+            words = phrase.split(" ")
+            own, low, high = phrase_matches(words, words.index(anchor), postings, bounds[full], slop)
+            np.add.at(edge, low, 1)
+            np.add.at(edge, high + 1, -1)
+            for k in full[np.unique(own)].tolist():
+                found.setdefault(k, set()).update(items)
         spans = [[] for _ in keys]
         hit = np.cumsum(edge) > 0
         for k in found:
             a, b = bounds[k]
             change = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).tolist()
             spans[k] = [{"start": x, "end": y} for x, y in zip(change[::2], change[1::2], strict=True)]
-        del postings, named
-        release()
-        return pd.DataFrame({
+        out = pd.DataFrame({
             "segment": np.full(len(keys), part["segment"].iloc[0]),
             "ordinal": np.arange(len(keys), dtype=np.int32),
             "doc_id": keys,
@@ -176,19 +208,11 @@ def search(index: DataFrame, items: list[tuple[str, list[tuple[bytes, ...]]]], s
             "spans": spans,
             "items": [sorted(found.get(k, ())) for k in range(len(keys))],
         })
+        del postings
+        release()
+        return out
 
-    asked = spark.createDataFrame([(w,) for w in terms], "term binary")
-    kept = index.filter(F.col("term").isNotNull()).drop("doc_id", "starts").join(F.broadcast(asked), "term", "left_semi")
-    kept = kept.select("segment", "term", "postings", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("binary").alias("starts"))
-    return kept.unionByName(index.filter(F.col("term").isNull())).groupBy("segment").applyInPandas(match, schema)
-
-
-def merged_spans(spans: Column) -> Column:
-    """Overlapping or touching spans of an array joined to maximal ones."""
-    none = F.array().cast(SPANS)
-    last = lambda acc: F.element_at(acc, -1)
-    longer = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))
-    return F.aggregate(F.array_sort(spans), none, lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("segment").applyInPandas(match, FOUND)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", width: int = 10, slop: int = 0) -> DataFrame:
@@ -197,30 +221,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     One row for each document row: doc_id (the key as text), n_words, spans (maximal runs of words hit), items (those with an
     occurring window, as text, in order). Null texts and texts without words have no words, no spans and no
     items; an item without words has no window; repeated rows each get their row; other columns of either
-    table are not read. An empty benchmark hits nothing. The benchmark is read in blocks of QUERY_BLOCK characters,
-    each searched before the next is read, so what the driver holds and broadcasts is bounded however long it is.
+    table are not read. An empty benchmark hits nothing. With slop, words from the first to the last term of a match are hit.
     """
-    index = build_index(df, text, key)
-    rows = benchmark.select(F.col(f"`{item_key}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).filter(F.col("t").isNotNull()).orderBy("i", "t")
-    done, held, now = [], 0, []
-    for r in rows.toLocalIterator():
-        if now and held + len(r["t"]) > QUERY_BLOCK:
-            done.append(materialise(search(index, now, slop), "matches"))
-            held, now = 0, []
-        now.append((r["i"] or "", windows(terms_of(r["t"]), width)))
-        held += len(r["t"])
-    last = search(index, now, slop)
-    if not done:
-        return last.drop("segment", "ordinal")
-    return _merged([*done, last])
-
-
-def _merged(done: list[DataFrame]) -> DataFrame:
-    both = done[0]
-    for more in done[1:]:
-        both = both.unionByName(more)
-    gathered = both.groupBy("segment", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return gathered.select("doc_id", "n_words", merged_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    found = search(build_index(df, text, key), phrases_of(benchmark, item_text, item_key, width), slop)
+    return found.drop("segment", "ordinal")
 
 
 def digest(found: DataFrame) -> DataFrame:
