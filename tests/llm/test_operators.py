@@ -332,6 +332,59 @@ def test_kd_sharding(spark, docs, none, texts):
     assert len(many) == 8 and max(r["n"] for r in many) < 1.05 * min(r["n"] for r in many)
 
 
+def kd_by_hand(rows, shards):
+    """(values, tie, weight) of each row -> its shard, by definition: split at the weighted median of the widest dimension."""
+    total = sum(w for _, _, w in rows)
+    dims, slack, out = range(len(rows[0][0])), total // shards // 100, [0] * len(rows)
+    wide = lambda at, i: max(rows[k][0][i] for k in at) - min(rows[k][0][i] for k in at)
+    spread = [max(1, wide(range(len(rows)), i)) for i in dims]
+
+    def median(pairs, want, left):
+        for v in sorted({v for v, _ in pairs}):
+            own = sum(w for x, w in pairs if x == v)
+            if left + own >= want:
+                return v, left, own
+            left += own
+
+    def split(at, n, first):
+        if n == 1 or not at:
+            for k in at:
+                out[k] = first
+            return
+        i = max(dims, key=lambda i: (wide(at, i) / spread[i], -i))
+        want = sum(rows[k][2] for k in at) * (n // 2) // n
+        v, left, own = median([(rows[k][0][i], rows[k][2]) for k in at], want, 0)
+        tie = (1 << 32) if left + own - want <= want - left else -1
+        if min(want - left, left + own - want) > slack:
+            tie = median([(rows[k][1], rows[k][2]) for k in at if rows[k][0][i] == v], want, left)[0]
+        below = [k for k in at if rows[k][0][i] < v or rows[k][0][i] == v and rows[k][1] <= tie]
+        split(below, n // 2, first)
+        split([k for k in at if k not in set(below)], n - n // 2, first + n // 2)
+
+    split(list(range(len(rows))), shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1 << 16, 40])
+def test_kd_tree_by_definition(spark, monkeypatch, buckets):
+    from treeql.llm import kd_sharding as K
+
+    monkeypatch.setattr(K, "BUCKETS", buckets)
+    rng = random.Random(11)
+    data = [(i, rng.choice([7, 7, rng.randrange(10**6)]), rng.randrange(50), rng.randrange(1, 3000), rng.randrange(9), rng.randrange(1 << 32)) for i in range(700)]
+    data += [(1000 + i, 7, 3, 500, 5, rng.randrange(1 << 32)) for i in range(300)] + [(2000, None, 2, None, 1, 1)]
+    df = spark.createDataFrame(data, "id long, x long, y long, w long, g long, t long")
+    for shards in (1, 3, 8):
+        got = {r["id"]: r["shard"] for r in K.kd_shards(df, {"x": F.col("x"), "y": F.col("y")}, F.col("w"), F.col("g"), F.col("t"), shards=shards).collect()}
+        want = kd_by_hand([(((x or 0) << 32 | g, y << 32 | g), t, w or 1) for _, x, y, w, g, t in data], shards)
+        assert [got[r[0]] for r in data] == want
+    # Of 300 equal rows that weigh a third of all, one group is split.
+    homes = collections.defaultdict(set)
+    for r, shard in zip(data, want, strict=True):
+        homes[r[1:3], r[4]].add(shard)
+    assert 1 <= sum(len(x) > 1 for x in homes.values()) <= 7
+
+
 def shingle_sets(texts, width=5):
     out = []
     for _, t in texts:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from treeql.llm._common import materialise
 
-#: Buckets of a histogram, and rows numbered in one window.
-BUCKETS, NUMBERED = 1024, 100_000
+#: Buckets of all histograms of a pass together (at least LEAST each; their sums reach the driver), and rows numbered in one window.
+BUCKETS, LEAST, NUMBERED = 1 << 16, 16, 20_000
 
 
 def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -45,7 +45,7 @@ def _medians(rows: DataFrame, open_: dict[int, _Search]) -> dict[int, tuple[int,
     """By node: the value that holds the median, the bytes left of it, and its own bytes. rows: node, values, weight."""
     done: dict[int, tuple[int, int, int]] = {}
     while open_:
-        buckets = max(16, BUCKETS * 64 // max(64, len(open_)))
+        buckets = max(LEAST, BUCKETS // len(open_))
         asked = small_table(rows.sparkSession, "node long, dim int, low long, high long, width long", [(k, s.dim, s.low, s.high, s.width(buckets)) for k, s in open_.items()])
         held = rows.join(asked, "node").withColumn("v", F.col("values")[F.col("dim")]).filter(F.col("v").between(F.col("low"), F.col("high")))
         offset = F.col("v") - F.col("low")
@@ -150,8 +150,9 @@ def number_rows(placed: DataFrame, n: int) -> DataFrame:
 def shard_documents(df: DataFrame, text: str = "text", key: str = "doc_id", shards: int = 8, keep: list[str] | None = None) -> DataFrame:
     """Documents in `shards` shards of near-equal bytes (UTF-8 bytes of the text, null: none, plus 1).
 
-    Dimensions are the text's bytes, lines and checksum, all functions of the text: equal texts stay together
-    as far as kd_shards() allows. Columns `keep` (all if None), size, text_crc32, shard and slot.
+    Dimensions are the text's bytes, lines and checksum, all functions of the text, so that equal texts stay together; a group of
+    them is dealt out by a hash of the key only where its bytes would put a split off its median by over a hundredth of a
+    shard, since the law is bytes: at most one group for every split, 7 of 8 shards. Null texts are empty. Columns `keep` (all if None), size, text_crc32, shard and slot.
     """
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("size", "text_crc32")]
