@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeql.llm._arrow import release, text_runs
@@ -189,29 +189,39 @@ def _verified(groups: DataFrame, texts: DataFrame, bodies: DataFrame, width: int
     return full.groupBy("pack", "a", "b").applyInPandas(verify, LINKS)
 
 
+def _prefixes(depth: int) -> Column:
+    """The trie node of each tree at a depth, as one number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * LONGEST + 1, depth)))
+
+
 def _matched(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """All verified links of texts, and the candidate groups that they were found in."""
     spark = texts.sparkSession
-    groups, links = spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], LINKS)
-    settled = spark.createDataFrame([], "node long, settled boolean")
     last = shortest(threshold, TREES, LONGEST, RECALL)
+    # The tries are pruned first: a text alone at the shortest prefix of every tree meets none at any length.
+    met = texts.select("node", F.explode(_prefixes(last)).alias("at"))
+    shared = met.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1").select("at")
+    texts = materialise(texts.join(met.join(shared, "at", "left_semi").select("node").distinct(), "node", "left_semi"), "tries")
     whole = lambda c: F.coalesce(c, F.lit(-1 << 63))
+    # One row of each of their texts; null keys match too.
+    wanted = texts.select("md5", whole(F.col("key")).alias("rowkey"))
+    bodies = rows.select("text", "md5", whole(F.col("key")).alias("rowkey")).join(wanted, ["md5", "rowkey"], "left_semi").dropDuplicates(["md5"])
+    bodies = materialise(bodies.select("md5", "text"), "bodies")
+    groups, links = spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], LINKS)
+    settled = spark.createDataFrame([], "node long, settled boolean")
     for depth in range(LONGEST, last - 1, -1):
         # What is one group already is one member of every node.
         placed = texts.select("node", "sig").join(groups, "node", "left").join(settled, "node", "left")
-        prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t, depth=depth: F.xxhash64(t, F.slice("sig", t * LONGEST + 1, depth)))
-        met = placed.select(F.coalesce("root", "node").alias("head"), F.col("settled").isNull().alias("open"), F.explode(prefixes).alias("at"))
+        met = placed.select(F.coalesce("root", "node").alias("head"), F.col("settled").isNull().alias("open"), F.explode(_prefixes(depth)).alias("at"))
         # A trie node counts if a text that is not settled is under it, beside another group.
         joins = met.groupBy("at").agg(F.min("head").alias("to"), F.max("head").alias("most"), F.max("open").alias("open")).filter(F.col("open") & (F.col("to") < F.col("most"))).select("at", "to")
         merged = materialise(roots(met.join(joins, "at").filter(F.col("head") != F.col("to")).select(F.col("head").alias("u"), F.col("to").alias("v")).distinct()), "merged")
-        old = groups.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        groups = materialise(old.unionByName(merged.join(groups.select("node"), "node", "left_anti").select("node", "root")), "groups")
-        changed = groups.join(merged.select("root").distinct(), "root", "left_semi").select("node", "root")
-        wanted = texts.join(changed.select("node"), "node", "left_semi").select("md5", whole(F.col("key")).alias("rowkey"))
-        # One row of each wanted text; null keys match too.
-        bodies = rows.select("text", "md5", whole(F.col("key")).alias("rowkey")).join(wanted, ["md5", "rowkey"], "left_semi").dropDuplicates(["md5"]).select("md5", "text")
-        kept = links.join(merged.select(F.col("node").alias("root")), "root", "left_anti").select(*links.columns)
-        links = materialise(kept.unionByName(_verified(changed, texts, bodies, width, threshold)), "links")
+        if not merged.isEmpty():
+            old = groups.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            groups = materialise(old.unionByName(merged.join(groups.select("node"), "node", "left_anti").select("node", "root")), "groups")
+            changed = groups.join(merged.select("root").distinct(), "root", "left_semi").select("node", "root")
+            kept = links.join(merged.select(F.col("node").alias("root")), "root", "left_anti").select(*links.columns)
+            links = materialise(kept.unionByName(_verified(changed, texts, bodies, width, threshold)), "links")
         if depth > last:
             # A text's share of links not met, with one link at the threshold that was not seen.
             lone, gone = float(missed(threshold, depth, TREES)), F.sum(F.col("missed")[depth - 1])
@@ -243,7 +253,7 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     # Copies of a text are one node from here on.
     texts = signed.filter("sig IS NOT NULL").groupBy("md5").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("shingles").alias("shingles"))
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    verified, groups = _matched(rows, texts, width, threshold)
+    verified, _ = _matched(rows, texts, width, threshold)
     classes = roots(verified.select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     placed = texts.select("node", "md5", "key", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
