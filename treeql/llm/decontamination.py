@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from treeql.llm._arrow import release, text_runs
 from treeql.llm._common import materialise
 
-#: Characters of text in a segment (one document may exceed it); windows of the benchmark in a batch.
-SEGMENT, WINDOWS = 8 << 20, 20_000
+#: Characters of text in a segment (one document may exceed it); windows of the benchmark in a batch; rows of a table of segments and terms that is broadcast.
+SEGMENT, WINDOWS, SMALL = 8 << 20, 20_000, 1_000_000
 
 #: Lower-cases A-Z and turns every other byte below 0x80 but digits and letters into a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -164,7 +164,9 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     # Phrases of which a term occurs nowhere are left out; the others go where their rarest term is.
     rarest = terms.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct("n", "term")).alias("r"), F.max(F.col("n").isNull()).alias("gone")).filter(~F.col("gone")).select("phrase", F.col("r.term").alias("term"))
     sent = materialise(named.select("segment", "term").join(rarest, "term"), "phrases")
-    wanted = sent.select("segment", F.explode(F.split("phrase", " ")).alias("term")).distinct()
+    # The postings to read are named by a table; while it is small it is broadcast, so that the index is not shuffled to find them.
+    wanted = materialise(sent.select("segment", F.explode(F.split("phrase", " ")).alias("term")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     asked = sent.withColumnRenamed("term", "anchor").join(phrases, "phrase")
     null = lambda kind: F.lit(None).cast(kind)
     column = lambda name, kind, own: F.col(name) if name in own else null(kind).alias(name)
