@@ -2,8 +2,8 @@
 
 The corpus is cut into segments of bounded text; each segment stores, for every term in it, the ascending
 positions at which it occurs, and a directory of its documents. Query phrases are a table too: each is joined to the
-index by its rarest term in the whole corpus, so a segment only sees phrases that can occur in it, and of its
-postings only those of their terms. There the terms' position lists, each shifted by the term's offset, are
+index by its rarest term in the whole corpus, so a segment only sees phrases that can occur in it, and
+only segments with phrases send their postings of the benchmark's terms. There the terms' position lists, each shifted by the term's offset, are
 intersected from the rarest term on. A document lies in one segment only, so every answer about it is made there;
 nothing of the corpus or the benchmark reaches the driver.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from treeql.llm._arrow import release, text_runs
 from treeql.llm._common import materialise
 
-#: Characters of text in a segment (one document may exceed it); windows of the benchmark in a batch; rows of a table of segments and terms that is broadcast.
+#: Characters of text in a segment (one document may exceed it); windows of the benchmark in a batch; terms of the benchmark that are broadcast.
 SEGMENT, WINDOWS, SMALL = 8 << 20, 20_000, 1_000_000
 
 #: Lower-cases A-Z and turns every other byte below 0x80 but digits and letters into a space.
@@ -132,6 +132,16 @@ def phrase_matches(words: list[str], anchor: int, postings: dict[str, np.ndarray
     if any(w not in postings for w in words):
         return none, none, none
     at = postings[words[anchor]]
+    if slop == 0:
+        first = at - anchor
+        for i in sorted((i for i in range(len(words)) if i != anchor), key=lambda i: len(postings[words[i]])):
+            found, want = postings[words[i]], first + i
+            first = first[found[np.minimum(np.searchsorted(found, want), len(found) - 1)] == want]
+            if not len(first):
+                return none, none, none
+        own = np.searchsorted(bounds[:, 0], first, side="right") - 1
+        whole = (own >= 0) & (first + len(words) <= bounds[own, 1])
+        return own[whole], first[whole], first[whole] + len(words) - 1
     own = np.searchsorted(bounds[:, 0], at, side="right") - 1
     low = high = at
     for i in sorted((i for i in range(len(words)) if i != anchor), key=lambda i: len(postings[words[i]])):
@@ -160,19 +170,20 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     named = index.filter(F.col("term").isNotNull())
     single = phrases.select("phrase").distinct()
     terms = single.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
-    counts = named.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    vocabulary = materialise(terms.select("term").distinct(), "terms")
+    # The benchmark's vocabulary is broadcast while it is small, so that the index is not shuffled to find its terms.
+    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= SMALL else vocabulary
+    named = named.join(vocabulary, "term", "left_semi")
+    counts = named.groupBy("term").agg(F.sum("n").alias("n"))
     # Phrases of which a term occurs nowhere are left out; the others go where their rarest term is.
     rarest = terms.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct("n", "term")).alias("r"), F.max(F.col("n").isNull()).alias("gone")).filter(~F.col("gone")).select("phrase", F.col("r.term").alias("term"))
     sent = materialise(named.select("segment", "term").join(rarest, "term"), "phrases")
-    # The postings to read are named by a table; while it is small it is broadcast, so that the index is not shuffled to find them.
-    wanted = materialise(sent.select("segment", F.explode(F.split("phrase", " ")).alias("term")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     asked = sent.withColumnRenamed("term", "anchor").join(phrases, "phrase")
     null = lambda kind: F.lit(None).cast(kind)
     column = lambda name, kind, own: F.col(name) if name in own else null(kind).alias(name)
     shape = [("segment", "long"), ("term", "string"), ("postings", "binary"), ("doc_id", "string"), ("starts", "binary"), ("phrase", "string"), ("anchor", "string"), ("item", "string")]
     parts = [
-        (named.join(wanted, ["segment", "term"], "left_semi"), ("segment", "term", "postings")),
+        (named.join(sent.select("segment").distinct(), "segment", "left_semi"), ("segment", "term", "postings")),
         (index.filter(F.col("term").isNull()), ("segment", "doc_id", "starts")),
         (asked, ("segment", "phrase", "anchor", "item")),
     ]
@@ -189,9 +200,15 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
         full = np.flatnonzero(bounds[:, 1] > bounds[:, 0])
         edge = np.zeros(int(bounds[:, 1].max(initial=0)) + 2, np.int32)
         found: dict[int, set[str]] = {}
-        for (phrase, anchor), items in part[of_phrase].groupby(["phrase", "anchor"], sort=False)["item"]:
+        asking: dict[tuple[str, str], list[str]] = {}
+        for phrase, anchor, item in zip(*(part[c][of_phrase] for c in ("phrase", "anchor", "item")), strict=True):
+            asking.setdefault((phrase, anchor), []).append(item)
+        held = bounds[full]
+        for (phrase, anchor), items in asking.items():
             words = phrase.split(" ")
-            own, low, high = phrase_matches(words, words.index(anchor), postings, bounds[full], slop)
+            own, low, high = phrase_matches(words, words.index(anchor), postings, held, slop)
+            if not len(own):
+                continue
             np.add.at(edge, low, 1)
             np.add.at(edge, high + 1, -1)
             for k in full[np.unique(own)].tolist():
