@@ -2,8 +2,9 @@
 
 Every node of the tree is split at the weighted median (weights: bytes) of its widest dimension until a leaf
 holds the target bytes; a level handles all its nodes together. A median is searched by histograms: bytes by
-node and bucket are summed in Spark, the bucket that holds the median is cut into buckets again until it is a
-single value. Only nodes x buckets sums reach the driver.
+node and bucket are summed in Spark, and the bucket that holds the median is cut into buckets again. Where a bucket
+has no more rows than a pass may have buckets, its values are summed singly, so the passes grow with the logarithm
+of the rows, not with the width of the values. Only nodes x buckets sums reach the driver.
 """
 
 from __future__ import annotations
@@ -29,41 +30,42 @@ def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFram
 
 @dataclass
 class _Search:
-    """A node's median search along one dimension: the first value whose bytes from the left reach `want`."""
+    """A node's median search along one dimension: the first value whose bytes from the left reach `want`. n: its rows from low to high."""
 
     dim: int
     low: int
     high: int
     want: int
+    n: int
     left: int = 0
 
     def width(self, buckets: int) -> int:
-        return max(1, -(-(self.high - self.low + 1) // buckets))
+        return 1 if self.n <= buckets else max(1, -(-(self.high - self.low + 1) // buckets))
 
 
-def _medians(rows: DataFrame, open_: dict[int, _Search]) -> dict[int, tuple[int, int, int]]:
-    """By node: the value that holds the median, the bytes left of it, and its own bytes. rows: node, values, weight."""
-    done: dict[int, tuple[int, int, int]] = {}
+def _medians(rows: DataFrame, open_: dict[int, _Search]) -> dict[int, tuple[int, int, int, int]]:
+    """By node: the value that holds the median, the bytes left of it, its own bytes and rows. rows: node, values, weight."""
+    done: dict[int, tuple[int, int, int, int]] = {}
     while open_:
         buckets = max(LEAST, BUCKETS // len(open_))
         asked = small_table(rows.sparkSession, "node long, dim int, low long, high long, width long", [(k, s.dim, s.low, s.high, s.width(buckets)) for k, s in open_.items()])
         held = rows.join(asked, "node").withColumn("v", F.col("values")[F.col("dim")]).filter(F.col("v").between(F.col("low"), F.col("high")))
         offset = F.col("v") - F.col("low")
         sums: dict[int, list] = {}
-        for r in held.groupBy("node", (offset - F.pmod(offset, F.col("width"))).alias("bucket")).agg(F.sum("weight").alias("weight")).collect():
-            sums.setdefault(r["node"], []).append((r["bucket"], r["weight"]))
+        for r in held.groupBy("node", (offset - F.pmod(offset, F.col("width"))).alias("bucket")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).collect():
+            sums.setdefault(r["node"], []).append((r["bucket"], r["weight"], r["n"]))
         for k, s in list(open_.items()):
             left, width = s.left, s.width(buckets)
-            for bucket, weight in sorted(sums[k]):  # noqa: B007
+            for bucket, weight, n in sorted(sums[k]):  # noqa: B007
                 if left + weight >= s.want:
                     break
                 left += weight
             start = s.low + bucket
             if width == 1:
-                done[k] = (start, left, weight)
+                done[k] = (start, left, weight, n)
                 del open_[k]
             else:
-                open_[k] = _Search(s.dim, start, min(s.high, start + width - 1), s.want, left)
+                open_[k] = _Search(s.dim, start, min(s.high, start + width - 1), s.want, n, left)
     return done
 
 
@@ -99,22 +101,23 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, group: Col
     open_, closed, made, level = {0: (leaves, 0)}, {}, 1, 0
     while True:
         closed |= {k: first for k, (n, first) in open_.items() if n == 1}
-        stats = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("weight").alias("weight"), *ends).collect()}
-        open_ = {k: x for k, x in open_.items() if k not in closed and k in stats}
+        open_ = {k: x for k, x in open_.items() if k not in closed}
         if not open_:
             break
+        stats = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), *ends).collect()} if level else {0: total}
+        open_ = {k: x for k, x in open_.items() if k in stats}
         dim = {k: max(range(len(dims)), key=lambda i: ((stats[k][f"hi{i}"] - stats[k][f"lo{i}"]) / spread[i], -i)) for k in open_}
         want = {k: stats[k]["weight"] * (n // 2) // n for k, (n, _) in open_.items()}
-        found = _medians(tree, {k: _Search(dim[k], stats[k][f"lo{dim[k]}"], stats[k][f"hi{dim[k]}"], want[k]) for k in open_})
+        found = _medians(tree, {k: _Search(dim[k], stats[k][f"lo{dim[k]}"], stats[k][f"hi{dim[k]}"], want[k], stats[k]["n"]) for k in open_})
         heavy = {k: x for k, x in found.items() if min(want[k] - x[1], x[1] + x[2] - want[k]) > slack}
         ties: dict[int, tuple[int, int, int]] = {}
         if heavy:
-            own = small_table(spark, "node long, dim int, split long", [(k, dim[k], v) for k, (v, _, _) in heavy.items()])
+            own = small_table(spark, "node long, dim int, split long", [(k, dim[k], v) for k, (v, _, _, _) in heavy.items()])
             one = tree.join(own, "node").filter(F.col("values")[F.col("dim")] == F.col("split")).drop("dim", "split")
-            ties = _medians(one, {k: _Search(len(dims), 0, (1 << 32) - 1, want[k], left) for k, (_, left, _) in heavy.items()})
+            ties = _medians(one, {k: _Search(len(dims), 0, (1 << 32) - 1, want[k], n, left) for k, (_, left, _, n) in heavy.items()})
         steps = []
         for k, (n, first) in open_.copy().items():
-            v, left, weight_here = found[k]
+            v, left, weight_here, _ = found[k]
             together = left + weight_here - want[k] <= want[k] - left
             tie_at = ties[k][0] if k in ties else (1 << 32) if together else -1
             steps.append((k, dim[k], v, tie_at, made, made + 1))
