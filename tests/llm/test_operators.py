@@ -706,33 +706,23 @@ def shared_out(sizes, weights=(5, 2, 1), repeats=3):
         free = [x for x in free if x not in full]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_mixing(spark, docs, none, texts, small, monkeypatch):
+def mix_by_hand(df):
+    """(row, size, taken, copies) of df's rows: blocks, slots and what they take, by definition; only the shuffled order comes from Spark's hash."""
     from treeql.llm import mixing as M
 
-    if small:
-        for k, v in (("BLOCK", 7), ("LEAST", 3), ("RANKED", 64), ("SUMMED", 50), ("SMALL", 1)):
-            monkeypatch.setattr(M, k, v)
-    rows = [(i, text_of(random.Random(i), 5 + i % 50), None if i % 41 == 0 else "hot" if i % 3 else f"s{i % 4}") for i in range(1200)]
-    rows += [(5000, "tiny text", "rare"), (5001, None, "none"), (7, rows[7][1], rows[7][2]), (None, "a b c", "hot"), (5002, " ".join(f"w{i}" for i in range(9000)), "s0")]
-    big = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = M.mix(big, keep=["doc_id", "source"]).collect()
-    assert sorted(map(tuple, M.mix(big.repartition(7), keep=["doc_id", "source"]).collect()), key=str) == sorted(map(tuple, got), key=str)
+    order = F.struct(F.pmod(F.xxhash64("h", "crc"), F.lit(max(1, -(-df.count() // M.SUMMED)))).alias("part"), "h", F.col("doc_id").cast("string").alias("key"))
+    hashed = df.withColumns({"h": F.xxhash64(F.col("doc_id").cast("string")), "crc": F.crc32(F.col("text").cast("binary"))}).withColumn("o", order).collect()
     sizes = collections.Counter()
-    for _, t, s in rows:
-        sizes[s] += len((t or "").split())
-    goal = shared_out(sizes)
-    # Blocks, slots and what they take, by definition; only the shuffled order comes from Spark's hash.
-    order = F.struct(F.pmod(F.xxhash64("h", "crc"), F.lit(-(-len(rows) // M.SUMMED))).alias("part"), "h", F.col("doc_id").cast("string").alias("key"))
-    hashed = big.withColumns({"h": F.xxhash64(F.col("doc_id").cast("string")), "crc": F.crc32(F.col("text").cast("binary"))}).select("doc_id", "text", "source", order.alias("o")).collect()
-    slots, blocks, start, at = {}, {}, {}, 0
+    for r in hashed:
+        sizes[r["source"]] += len((r["text"] or "").split())
+    goal, slots, blocks, start, at = shared_out(sizes), {}, {}, {}, 0
     for s in sorted(sizes, key=lambda x: (x is None, x or "")):
         blocks[s] = max(-(-sizes[s] // M.BLOCK), min(sizes[s], M.LEAST))
         slots[s] = min(3 * blocks[s], math.floor(blocks[s] * goal[s] / sizes[s] + 0.5)) if sizes[s] else 0
         start[s], at = at, at + slots[s]
     bits = (at - 1).bit_length()
     times = {s: collections.Counter(r % blocks[s] for r, _ in enumerate(sorted(int(f"{p:0{bits}b}"[::-1], 2) for p in range(start[s], start[s] + slots[s])))) for s in sizes}
-    want = []
+    out = []
     for s in sizes:
         own = sorted((r for r in hashed if r["source"] == s), key=lambda r: (r["o"]["part"], r["o"]["h"], r["o"]["key"] or ""))
         base, rem = divmod(sizes[s], blocks[s]) if sizes[s] else (0, 0)
@@ -740,8 +730,28 @@ def test_mixing(spark, docs, none, texts, small, monkeypatch):
         place = 0
         for r in own:
             n = len((r["text"] or "").split())
-            want.append((-1 if r["doc_id"] is None else r["doc_id"], s, n, sizes[s], round(goal[s], 6), sum(times[s][of_word[w]] for w in range(place, place + n)), times[s][of_word[place + n // 2]] if n else 0))
+            out.append((r, n, sum(times[s][of_word[w]] for w in range(place, place + n)), times[s][of_word[place + n // 2]] if n else 0))
             place += n
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mixing(spark, docs, none, texts, small, monkeypatch):
+    from treeql.llm import mixing as M
+
+    if small:
+        for k, v in (("BLOCK", 7), ("LEAST", 3), ("RANKED", 64), ("SUMMED", 50), ("SMALL", 1)):
+            monkeypatch.setattr(M, k, v)
+    rows = [(i, text_of(random.Random(i), 5 + i % 50), None if i % 41 == 0 else "hot" if i % 3 else f"s{i % 4}") for i in range(1200)]
+    rows += [(5000, "tiny text", "rare"), (5001, None, "none"), (7, rows[7][1], rows[7][2]), (None, "a b c", "hot"), (5002, " ".join(f"w{i}" for i in range(9000)), "s0")]
+    big = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(big, keep=["doc_id", "source"]).collect()
+    assert sorted(map(tuple, M.mix(big.repartition(7), keep=["doc_id", "source"]).collect()), key=str) == sorted(map(tuple, got), key=str)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    goal = shared_out(sizes)
+    want = [(-1 if r["doc_id"] is None else r["doc_id"], r["source"], n, sizes[r["source"]], round(goal[r["source"]], 6), taken, copies) for r, n, taken, copies in mix_by_hand(big)]
     assert sorted(want, key=str) == sorted(((-1 if r[0] is None else r[0], *r[1:4], round(r["target"], 6), *r[5:]) for r in got), key=str)
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and max(r["taken"] for r in got if r["size"]) > 0
     for s in ("hot", "s0", None):
@@ -787,6 +797,98 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert P.STAGES[-1][1](spark, none.select(columns), sf).count() == 0
 
 
+def test_pipeline_stages_by_definition(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+    from treeql.llm.language_id import fit, public_pieces
+
+    rng, sf = random.Random(21), str(tmp_path)
+    kinds = {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["uno", "dos", "tres", "cuatro"], "zz": ["eins", "zwei", "drei", "vier"]}
+    words = lambda k, n: [rng.choice(kinds[k]) + rng.choice("abcdefgh") * rng.randrange(3) for _ in range(n)]
+    rows = []
+    for i in range(90):
+        k = rng.choice(list(kinds))
+        rows.append((i, "\n".join(" ".join(words(k, rng.randrange(3, 12))) for _ in range(rng.randrange(1, 4))), rng.choice([k, k, None])))
+    base = words("xx", 60)
+    for i in range(90, 100):
+        near = list(base)
+        for _ in range(i % 3):
+            near[rng.randrange(60)] = f"new{rng.choice('abc')}"
+        rows.append((i, " ".join(near), None))
+    rows += [(100 + i, rows[i][1], "yy") for i in range(6)] + [(110, "123 456", None), (111, None, "yy"), (112, "", None), (113, "ｑ", None), (114, "ｑｗ ｑ", None), (None, " ".join(words("zz", 9)), "zz")]
+    bench = [(1, " ".join(rows[3][1].split()[:12])), (2, "Tiny item"), (3, None), (4, " ".join(words("yy", 15)))]
+    rows += [(120, f"beta tiny item, {' '.join(words('xx', 8))}", "xx"), (121, f"{' '.join(words('yy', 5))} {bench[3][1]} uno", "yy"), (122, "tiny beta item dos uno", "yy")]
+    data = [(i, t, k, ["b", "a", None, "hot", "hot"][(i or 0) % 5], len(t or "")) for i, t, k in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, same = spark.read.parquet(f"{sf}/documents.parquet"), lambda found: sorted(map(str, map(tuple, found)))
+
+    def staged(k):
+        found = P.STAGES[k][1](spark, docs, sf)
+        found.write.parquet(f"{sf}/stage{k}.parquet")
+        return spark.read.parquet(f"{sf}/stage{k}.parquet")
+
+    # Language ID: a posterior of at least a half, all segmentations of every word summed.
+    model = fit(docs, public_pieces(public_file("piece_bpe_32k.model")), crc_of_id(F.col("doc_id")) % 3 != 1)
+    number, longest = {x: i for i, x in enumerate(model.pieces)}, max(map(len, model.pieces))
+
+    def posterior(text):
+        logs = model.log_prior.copy()
+        for word in text.split():
+            w = "\u2581" + word
+            sums = [np.ones(3)] + [np.zeros(3)] * len(w)
+            for i in range(len(w)):
+                for j in range(i + 1, min(i + longest, len(w)) + 1):
+                    k = number.get(w[i:j], -1 if j == i + 1 else None)
+                    if k is not None:
+                        sums[j] = sums[j] + sums[i] * model.p[k]
+            logs += np.log(sums[-1])
+        return 1 / np.exp(logs - logs.max()).sum()
+
+    scored = [(r, posterior(r[1])) for r in data if r[1] and any(c.isalpha() for c in r[1])]
+    left = [r for r, p in scored if p >= P.LEAST_SCORE]
+    with monkeypatch.context() as m:
+        # These texts are sure of their language; a higher bar tells them apart.
+        m.setattr(P, "LEAST_SCORE", (min(p for _, p in scored) + 1) / 2)
+        high = [r for r, p in scored if p >= P.LEAST_SCORE]
+        assert same(P.language_id(spark, docs, sf).collect()) == same(high) and 50 < len(high) < len(scored)
+    docs = staged(0)
+    assert same(docs.collect()) == same(left)
+    # Near duplicates: the least of every class that links connect.
+    sets, class_of = shingle_sets([r[:2] for r in left]), list(range(len(left)))
+    for a, b in itertools.combinations(range(len(left)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            class_of = [class_of[a] if c == class_of[b] else c for c in class_of]
+    first = {c: min((i for i in range(len(left)) if class_of[i] == c), key=lambda i: (left[i][0] is None, left[i][0] or 0)) for c in class_of}
+    assert len(first) < len(left) - 6
+    left = [left[i] for i in first.values()]
+    docs = staged(1)
+    assert same(docs.collect()) == same(left)
+    # Decontamination: no window of an item.
+    windows = [w[i : i + 10] for _, t in bench if (w := low_words(t)) for i in range(max(1, len(w) - 9))]
+    hit = lambda t: any(w[i : i + len(x)] == x for w in [low_words(t)] for x in windows for i in range(len(w) - len(x) + 1))
+    assert {3, 120, 121} <= {r[0] for r in left if hit(r[1])} and not hit(rows[-1][1])
+    left = [r for r in left if not hit(r[1])]
+    docs = staged(2)
+    assert same(docs.collect()) == same(left)
+    # Mixing: as often as the block at a document's middle is taken.
+    mixed = [tuple(r)[:5] for r, _, _, copies in mix_by_hand(docs) for _ in range(copies)]
+    docs = staged(3)
+    assert same(docs.collect()) == same(mixed) and len(set(mixed)) < len(mixed)
+    # Sharding: the k-d tree.
+    tie = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 32))
+    inner, own = [], docs.select("*", tie.alias("tie")).collect()
+    for r in own:
+        raw = r["text"].encode()
+        crc = zlib.crc32(raw)
+        inner.append(([x << 32 | crc for x in (len(raw) + 1, r["text"].count("\n"), crc >> 1)], r["tie"], len(raw) + 1))
+    want = [(r["doc_id"], r["lang"], r["source"], x[2], zlib.crc32(r["text"].encode()), shard) for r, x, shard in zip(own, inner, kd_by_hand(inner, 8), strict=True)]
+    for found in (staged(4).collect(), P.run(spark, sf).collect()):
+        assert same((r["doc_id"], r["lang"], r["source"], r["size"], r["text_crc32"], r["shard"]) for r in found) == same(want)
+        for shard, n in collections.Counter(r["shard"] for r in found).items():
+            assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(n))
+
+
 def test_pipeline_decontaminates_by_row(spark, tmp_path):
     import corpus_pipeline as P
 
