@@ -595,6 +595,52 @@ def test_warc(spark, tmp_path):
         read_archive(spark, bad + "2").collect()
 
 
+def test_warc_disk(spark, tmp_path):
+    """Payloads travel once when archived; when read, only those that records share do, and none if only their lengths and digests are asked for."""
+    from treeql.llm.queries import op7_warc_archive
+    from treeql.llm.warc_archive import archive_and_read, read_archive, write_archive
+
+    def shuffled(act):
+        """Bytes of the shuffle files that act leaves, and what it returns."""
+        files = lambda: {f.getName(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+        before = files()
+        got = act()
+        return sum(n for name, n in files().items() if name.startswith("shuffle_") and name not in before), got
+
+    rng = random.Random(8)
+    body = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(5000))
+    alone, pairs = [(i, f"u{i}", body()) for i in range(120)], [(i, f"u{i}", html) for i, html in enumerate(body() for _ in range(60))]
+    pairs += [(1000 + i, u, html) for i, u, html in pairs]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for k, (pages, whole, lean) in enumerate(((alone, 0.1, 0.1), (pairs, 0.7, 0.1))):
+            total, sf = sum(len(h.encode()) for _, _, h in pages), str(tmp_path / f"sf{k}")
+            spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+            path = f"{sf}/w"
+            sent, _ = shuffled(lambda sf=sf, path=path: write_archive(spark.read.parquet(f"{sf}/pages.parquet"), path))
+            assert 0.5 * total < sent < 1.2 * total
+            # What is compared travels by no shuffle, or by what is allowed.
+            sent, got = shuffled(lambda path=path: read_archive(spark, path).select("page_id", "url", "payload", "record").collect())
+            assert sent < whole * total and sorted((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in got) == sorted(pages)
+            sent, got = shuffled(lambda sf=sf: op7_warc_archive(spark, sf).collect())
+            assert sent < (1.2 + lean) * total
+            top = {h: i for i, _, h in sorted(pages)}
+            want = [(i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), "response" if top[h] == i else "revisit", None if top[h] == i else top[h]) for i, _, h in pages]
+            assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The header beside a payload is held against it too, and an archive with all headers apart is read as well.
+    stored = spark.read.schema("sha256 string, bytes binary, header binary, kind string").parquet(f"{tmp_path}/sf0/w")
+    assert stored.filter("kind = 'payload' AND header IS NOT NULL").count() == len(alone) == stored.count()
+    for name, header in (("forged", F.expr("cast(replace(cast(header AS string), 'sha1:', 'sha1:0') AS binary)")), ("apart", F.lit(None).cast("binary"))):
+        stored.withColumn("header", header).write.partitionBy("kind").parquet(f"{tmp_path}/{name}")
+    stored.select("sha256", F.col("header").alias("bytes"), F.lit("header").alias("kind")).write.mode("append").partitionBy("kind").parquet(f"{tmp_path}/apart")
+    with pytest.raises(Exception, match="match"):
+        read_archive(spark, f"{tmp_path}/forged").collect()
+    assert sorted(r["page_id"] for r in read_archive(spark, f"{tmp_path}/apart").collect()) == sorted(i for i, _, _ in alone)
+    assert archive_and_read(spark.createDataFrame(alone, "page_id long, url string, html string")).select("header").distinct().count() == len(alone)
+
+
 def test_substring_dedup(docs, none, texts):
     from treeql.llm.substring_dedup import digest, repeated_spans
 

@@ -65,7 +65,7 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeql.llm.warc_archive import archive_and_read
 
     records = archive_and_read(table(spark, sf_dir, "pages"))
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

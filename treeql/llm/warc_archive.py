@@ -1,8 +1,10 @@
 """A content-addressed WARC archive.
 
-Payload bytes are stored once under their verified SHA-256; record headers are stored exactly, separately, each
-with the digest of its payload; records are rebuilt by a join of the two. Digests are recomputed from the
-stored bytes when an archive is read; a payload that doesn't match its address stops the read.
+Payload bytes are stored once under their verified SHA-256; record headers are stored exactly, in cells of their
+own, each with the digest of its payload. The header of a payload's only record stands in the payload's row; those
+of payloads with several records stand apart and are joined back, so only payloads that records share travel when
+an archive is read. Digests are recomputed from the stored bytes then; a payload that doesn't match its address
+stops the read.
 """
 
 from __future__ import annotations
@@ -63,8 +65,28 @@ def _record_id(sha256: Column, key: Column, url: Column, copy: Column) -> Column
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-8"), cut(13, 3), F.lit("-a"), cut(16, 3), F.lit("-"), cut(19, 12), F.lit(">"))
 
 
+def _header(sha256: Column, key: Column, url: Column, copy: Column, n: Column, sha1: Column, revisit: Column, refers: Column) -> Column:
+    """A record's header, in bytes; refers: the lines that a revisit has besides."""
+    form = F.when(url.isNull(), F.lit("none")).when(F.rlike(url, F.lit("[\r\n]")), F.lit("escaped"))
+    content = F.when(revisit, F.lit(0)).otherwise(n).cast("string")
+    return F.concat(
+        F.lit(f"WARC/1.1{LINE}"),
+        _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        _field("WARC-Record-ID", _record_id(sha256, key, url, copy)),
+        _field("WARC-Target-URI", F.coalesce(_one_line(url), F.lit(NO_URL))),
+        _field("WARC-Date", DATE),
+        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
+        F.when(revisit, refers).otherwise(F.lit("")),
+        _field(PAGE, key.cast("string")),
+        _field(URL_FORM, form),
+        _field("Content-Type", "text/html; charset=utf-8"),
+        _field("Content-Length", content),
+        F.lit(LINE),
+    ).cast("binary")
+
+
 def write_archive(df: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html") -> None:
-    """Archive each row of df as a WARC record under `path`, in kind=header and kind=payload.
+    """Archive each row of df as a WARC record under `path`, in kind=header and kind=payload (with the header of a payload's only record).
 
     The payload is the body in UTF-8 (null: empty). Of rows with equal payloads of at least REVISIT_FROM
     bytes, that with the largest key (null is least; of equal keys one) is a response, the others are revisits
@@ -75,50 +97,35 @@ def write_archive(df: DataFrame, path: str, key: str = "page_id", url: str = "ur
     """
     raw = F.coalesce(F.col(f"`{body}`"), F.lit("")).cast("binary")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), raw.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    # Headers are made without their payloads: rows alike are counted, the largest key of a payload is found.
+    first = F.lit(1).cast("long")
+    payloads = rows.groupBy("sha256").agg(F.first("payload").alias("bytes"), F.count("*").alias("holders"), F.first("key").alias("key"), F.first("url").alias("url"))
+    own = _header(F.col("sha256"), F.col("key"), F.col("url"), first, F.octet_length("bytes"), F.sha1("bytes"), F.lit(False), F.lit(""))
+    payloads = payloads.select("sha256", "bytes", F.when(F.col("holders") == 1, own).alias("header"), F.lit("payload").alias("kind"))
+    # The other headers are made without their payloads: rows alike are counted, the largest key of a payload is found.
     alike = rows.groupBy("sha256", "key", "url").agg(F.count("*").alias("copies"), F.max(F.struct(F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"))).alias("of"))
     rank = F.struct(F.col("key").isNotNull().alias("has"), F.col("key").alias("key"), F.col("url").isNotNull().alias("named"), F.col("url").alias("url"))
-    winner = alike.groupBy("sha256").agg(F.max(rank).alias("top"))
-    each = alike.join(winner, "sha256").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    winner = alike.groupBy("sha256").agg(F.max(rank).alias("top"), F.sum("copies").alias("holders")).filter("holders > 1")
+    each = alike.join(winner, "sha256").select("*", F.explode(F.sequence(first, F.col("copies"))).alias("copy"))
     stores = rank.eqNullSafe(F.col("top")) & (F.col("copy") == 1)
-    n, sha1 = F.col("of.n"), F.col("of.sha1")
-    revisit = (n >= REVISIT_FROM) & ~stores
-    first = F.lit(1).cast("long")
+    revisit = (F.col("of.n") >= REVISIT_FROM) & ~stores
     refers = F.concat(_field("WARC-Refers-To", _record_id(F.col("sha256"), F.col("top.key"), F.col("top.url"), first)), _field(REFERRED, F.col("top.key").cast("string")), _field("WARC-Profile", REVISIT_PROFILE))
-    form = F.when(F.col("url").isNull(), F.lit("none")).when(F.rlike("url", F.lit("[\r\n]")), F.lit("escaped"))
-    content = F.when(revisit, F.lit(0)).otherwise(n).cast("string")
-    header = F.concat(
-        F.lit(f"WARC/1.1{LINE}"),
-        _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _field("WARC-Record-ID", _record_id(F.col("sha256"), F.col("key"), F.col("url"), F.col("copy"))),
-        _field("WARC-Target-URI", F.coalesce(_one_line(F.col("url")), F.lit(NO_URL))),
-        _field("WARC-Date", DATE),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        F.when(revisit, refers).otherwise(F.lit("")),
-        _field(PAGE, F.col("key").cast("string")),
-        _field(URL_FORM, form),
-        _field("Content-Type", "text/html; charset=utf-8"),
-        _field("Content-Length", content),
-        F.lit(LINE),
-    )
-    headers = each.select("sha256", header.cast("binary").alias("bytes"), F.lit("header").alias("kind"))
-    payloads = rows.dropDuplicates(["sha256"]).select("sha256", F.col("payload").alias("bytes"), F.lit("payload").alias("kind"))
+    header = _header(F.col("sha256"), F.col("key"), F.col("url"), F.col("copy"), F.col("of.n"), F.col("of.sha1"), revisit, refers)
+    headers = each.select("sha256", header.alias("bytes"), F.lit(None).cast("binary").alias("header"), F.lit("header").alias("kind"))
     headers.unionByName(payloads).write.partitionBy("kind").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every archived record: header (text), payload, sha256, record (the WARC record's exact bytes), and the
+    """Every archived record: header (text), payload, payload_bytes, sha256, record (the WARC record's exact bytes), and the
     header's page_id, url, record_type, refers_to and payload_digest.
 
     A payload whose bytes don't give its address, or a header's digest, raises an error.
     """
-    schema = "sha256 string, bytes binary, kind string"
-    stored = spark.read.schema(schema).parquet(path)
-    bodies = stored.filter(F.col("kind") == "payload").select("sha256", F.col("bytes").alias("payload"))
+    stored = spark.read.schema("sha256 string, bytes binary, header binary, kind string").parquet(path)
     right = F.when(F.sha2("payload", 256) == F.col("sha256"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest")))
-    bodies = bodies.withColumn("sha1", right)
+    bodies = lambda which: stored.filter((F.col("kind") == "payload") & which).select("sha256", F.col("header").cast("string").alias("header"), F.col("bytes").alias("payload")).withColumns({"sha1": right, "payload_bytes": F.octet_length("payload").cast("long")})
     heads = stored.filter(F.col("kind") == "header").select("sha256", F.col("bytes").cast("string").alias("header"))
-    both = heads.join(bodies, "sha256")
+    shared = heads.join(bodies(F.col("header").isNull()).drop("header"), "sha256")
+    both = shared.unionByName(bodies(F.col("header").isNotNull()))
     page = lambda name: header_value(F.col("header"), name).cast("long")
     digest = F.substring(header_value(F.col("header"), "WARC-Payload-Digest"), 6, 40)
     kind = header_value(F.col("header"), "WARC-Type")
@@ -130,6 +137,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.when(digest == F.col("sha1"), F.col("sha1")).otherwise(F.raise_error(F.lit("a header's digest doesn't match its payload"))).alias("payload_digest"),
         "header",
         "payload",
+        "payload_bytes",
         "sha256",
         F.concat(F.col("header").cast("binary"), F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload")), F.lit(RECORD_END.encode())).alias("record"),
     )
